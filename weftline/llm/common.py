@@ -192,3 +192,53 @@ def bisected(table_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
     at = np.minimum(np.searchsorted(table_, keys), len(table_) - 1)
     return at, table_[at] == keys
+
+
+class Slots:
+    """Open-addressing table from non-zero 64-bit hashes to the numbers 0, 1, 2... in the order of insertion."""
+
+    def __init__(self, bits: int = 16):
+        self.n, self.keys, self.values = 0, np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        mask = np.uint64(len(self.keys) - 1)
+        at = (hashes & mask).astype(np.int64)
+        got = self.keys[at]
+        out = np.where(got == hashes, self.values[at], -1)
+        left = np.flatnonzero((got != hashes) & (got != 0))
+        while len(left):
+            at = (at[left] + 1 if len(at) == len(hashes) else at + 1) & int(mask)
+            got, want = self.keys[at], hashes[left]
+            same = got == want
+            out[left[same]] = self.values[at[same]]
+            more = ~same & (got != 0)
+            left, at = left[more], at[more]
+        return out
+
+    def add(self, hashes: np.ndarray) -> None:
+        """hashes: distinct ones that aren't in the table."""
+        if 2 * (self.n + len(hashes)) > len(self.keys):
+            old = self.keys[np.flatnonzero(self.keys)], self.values[np.flatnonzero(self.keys)]
+            bits = max(len(self.keys).bit_length(), (4 * (self.n + len(hashes))).bit_length())
+            self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+            self._put(*old)
+        self._put(hashes, np.arange(self.n, self.n + len(hashes), dtype=np.int32))
+        self.n += len(hashes)
+
+    def _put(self, hashes: np.ndarray, values: np.ndarray) -> None:
+        mask = len(self.keys) - 1
+        at = (hashes & np.uint64(mask)).astype(np.int64)
+        while len(hashes):
+            free = self.keys[at] == 0
+            self.keys[at[free]] = hashes[free]
+            won = free & (self.keys[at] == hashes)
+            self.values[at[won]] = values[won]
+            left = ~won
+            hashes, values, at = hashes[left], values[left], (at[left] + 1) & mask
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The indices starts[i], starts[i] + 1, ... of lengths[i] elements each, one after the other."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
