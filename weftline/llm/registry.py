@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, line_dedup, mixing, packing
 
 QUERIES = {
+    "op2_packing": packing.op2_packing,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_mixing": mixing.op7_mixing,
 }
 
 ORACLES = {
+    "op4_line_dedup": line_dedup.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
 }
