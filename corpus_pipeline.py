@@ -1,8 +1,50 @@
-"""The corpus pipeline."""
-STAGES = []
+"""From documents to packed sequences: language ID, line dedup, near dedup, mixing, packing."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.llm import language_id as lid
+from weftline.llm import line_dedup, mixing, near_dedup, packing
+from weftline.llm.common import stage, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter (`und`); learns from the labelled ones."""
+    model = lid.train(docs.select("doc_id", "text", "lang"), lid.default_vocabulary())
+    return lid.identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rewrites texts without their repeated lines; all documents stay."""
+    out = line_dedup.line_dedup(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return out.select(*docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest doc_id stays."""
+    kept = near_dedup.near_dedup(docs).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become what the mix takes of them, repeats on lines of their own; documents that it doesn't take go."""
+    return mixing.mix_texts(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", identify_language), ("line_dedup", dedup_lines), ("near_dedup", dedup_near), ("mixing", mix), ("packing", pack)]
+
+#: Tokenizing and models have no SQL; tests/llm compares each stage with a brute-force version.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, function in STAGES[:-1]:
+        docs = stage(function(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

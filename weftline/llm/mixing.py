@@ -19,6 +19,7 @@ taken at most `most` times its size, as targets stop there and blocks repeat in
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,11 +142,12 @@ def _position(n: int, key, block: int) -> int:
     return _found[(n, int(key))]
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 1) -> DataFrame:
-    """docs: doc_id, source, text. Out, for each row: doc_id, source, row_id, size, source_size, target,
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 1, row_id: str | None = None) -> DataFrame:
+    """docs: doc_id, source, text, and in the column `row_id`, where one is named, the number that
+    monotonically_increasing_id() gave each row. Out, for each row: doc_id, source, row_id, size, source_size, target,
     taken, and segments: how often the mix takes which ranges of its words (start, length, times)."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), F.monotonically_increasing_id().alias("row_id"))
+    rows = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row_id"))
     rows = stage(rows.withColumn("part", F.shiftright("row_id", 33)), "sizes")
     by_part = stage(rows.groupBy("part", "source").agg(F.sum("size").alias("n")), "part-sizes")
     # The driver holds a few numbers for each source, whatever their documents.
@@ -200,5 +202,41 @@ def _places(rows: pa.Table) -> pa.Table:
     return rows.select(["doc_id", "source", "row_id", "size", "part"]).append_column("local", pa.array(local))
 
 
+def mixed_text(text: str, segments: list[dict]) -> str:
+    """The words that the mix takes: one copy for each time, as they stand in the text, copies on lines of their own."""
+    spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    copies = []
+    for turn in range(max(s["times"] for s in segments) + 1):
+        runs: list[list[int]] = []
+        for s in segments:
+            n = s["length"] if turn < s["times"] else s["partly"] if turn == s["times"] else 0
+            if n and runs and runs[-1][1] == s["start"]:
+                runs[-1][1] = s["start"] + n
+            elif n:
+                runs.append([s["start"], s["start"] + n])
+        if runs == [[0, len(spans)]]:
+            copies.append(text)
+        elif runs:
+            copies.append("\n".join(text[spans[a][0] : spans[b - 1][1]] for a, b in runs))
+    return "\n".join(copies)
+
+
+def mix_texts(docs: DataFrame, **options) -> DataFrame:
+    """The rows that the mix takes, with the texts that it takes of them; a column n_chars follows."""
+    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    taken = mix_sources(numbered, row_id="_row", **options).where("taken > 0").select(F.col("row_id").alias("_row"), "segments")
+    columns = [c for c in docs.columns if c != "text"]
+    rows = numbered.join(taken, "_row").select("text", "segments", F.struct(*columns).alias("rest"))
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [mixed_text(t or "", s) for t, s in zip(batch["text"].to_pylist(), batch["segments"].to_pylist())]
+            yield pa.record_batch([pa.array(texts, pa.string()), batch["rest"]], names=["text", "rest"])
+
+    out = rows.mapInArrow(rewrite, f"text string, rest {rows.schema['rest'].dataType.simpleString()}")
+    length = F.length("text").cast("long")
+    return out.select(*["text" if c == "text" else length.alias(c) if c == "n_chars" else F.col(f"rest.{c}").alias(c) for c in docs.columns])
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
