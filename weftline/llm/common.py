@@ -62,16 +62,19 @@ def workers(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str, at_most: int = 1000) -> DataFrame:
+def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str, at_most: int = 1000, small: int = 100_000) -> DataFrame:
     """Left outer join of left with right, which has each key once and in `weight` the number
     of left rows that hold it.
 
-    Keys that hold more than one in `at_most` of all left rows are hot. There are fewer than
-    `at_most` of them, so they are broadcast; their left rows are spread over all partitions.
+    Up to `small` rows of right are broadcast (the caller lowers that for wide rows). Beyond them, keys
+    that hold more than one in `at_most` of all left rows are hot. There are fewer than
+    `at_most` of these, so they are broadcast; their left rows are spread over all partitions.
     Null keys match nothing. No key may hold a name of the other side's columns but the keys.
     """
-    total = right.agg(F.sum(weight)).first()[0] or 0
-    least = max(1000, total // at_most)
+    size = right.agg(F.count("*").alias("n"), F.sum(weight).alias("total")).first()
+    if size["n"] <= small:
+        return left.join(F.broadcast(right), keys, "left").select(*left.columns, *[c for c in right.columns if c not in keys])
+    least = max(1000, (size["total"] or 0) // at_most)
     values = [c for c in right.columns if c not in keys]
     hot = right.where(F.col(weight) > least).select(*keys, F.struct(*values).alias("_hot"))
     rest = right.where(F.col(weight) <= least).select(

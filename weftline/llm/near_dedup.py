@@ -1,15 +1,15 @@
 """Near-duplicate components by bottom-k sketches of one hash function.
 
 Each text is the set of its word shingles' hashes. Equal sets are one class. A class's sketch is
-its k smallest hashes; the first few of them name the inverted lists that it is on. Short lists
-give every pair whose retained values overlap enough; long ones give the pairs with some leaders
-and neighbours, and once these are resolved, lists that still join different components are split
-by pairs and then triples of retained values until all pairs across components have been looked
-at. Candidates are filtered by the similarity that their union's sketch estimates, and links are
-confirmed on full sets. Only pairs across components are confirmed after the first round, so that
-a large group of copies costs a few comparisons for each copy, yet no link is lost: two texts over
-the threshold fail to meet on any list, or at the estimate, with a chance below one in a hundred
-thousand at the threshold itself and far less above it.
+its k smallest hashes; the first few of them name the inverted lists that it is on. Short lists give every pair whose retained values overlap enough; long ones give the pairs
+with some leaders and neighbours. Once these are resolved, texts on long lists that still join
+different components meet on lists of three values, where every pair across components is looked
+at that sizes and shingles of their own (in no other of these texts) let reach the threshold.
+Candidates are filtered by the similarity that their union's sketch estimates, and links are
+confirmed on full sets: each text's likeliest partners first, then pairs that are still across
+components, so that a large group of copies costs a few comparisons for each copy. The chance that
+two texts at the threshold itself don't meet or fail the estimate is about one in a hundred thousand,
+and far less above it. A list of three values is read by one task.
 
 Defined cases: a text that is null or has no word has an empty set and is linked with nothing; a
 text with fewer words than a shingle has one shingle, the whole; rows that repeat a doc_id are
@@ -20,16 +20,17 @@ an empty table gives an empty result. Only doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, join_unique, mix, stage, strings, table, words
+from .common import blocks, join_unique, mix, ragged, stage, strings, table, words, workers
 from .components import components
 
-SKETCH, LISTED, SHORT, LEADERS, NEIGHBOURS, OVERLAP = 64, 12, 32, 4, 2, 3
+SKETCH, LISTED, SHORT, LEADERS, NEIGHBOURS, OVERLAP, CROWD = 64, 12, 32, 4, 2, 3, 128
 BROADCAST_IDS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -94,60 +95,21 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return out
 
 
-def _pairing(threshold: float, exhaustive: bool, same_component: bool):
-    """Rows that are sorted by list -> pairs whose sizes and retained values allow the threshold."""
-
-    def fits(a: np.ndarray, b: np.ndarray, n: np.ndarray, sig: np.ndarray, comp: np.ndarray) -> np.ndarray:
-        small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        good = np.flatnonzero((small >= threshold * large - 1e-9) & (comp[a] != comp[b]))
-        found = np.zeros(len(a), bool)
-        for i in range(0, len(good), 50_000):
-            g = good[i : i + 50_000]
-            x, y = sig[a[g]], sig[b[g]]
-            shared = ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] != 0)).sum(axis=(1, 2))
-            found[g] = shared >= np.minimum(OVERLAP, large[g])
-        return found
-
-    def chosen(key: int, m: int, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        every = np.arange(m)
-        if exhaustive:
-            for d in range(1, m):
-                yield every[: m - d], every[d:]
-            return
-        order = np.argsort(mix(rows.view(np.uint64) ^ np.uint64(key & 0xFFFFFFFFFFFFFFFF)))
-        for leader in order[:LEADERS]:
-            yield np.full(m, leader), every
-        for d in range(1, NEIGHBOURS + 1):
-            yield every[: m - d], every[d:]
+def _shared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the values in each row of x are in that row of y."""
+    return ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] != 0)).any(axis=2)
 
-    def of(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, row, n = (t[c].to_numpy() for c in ("key", "row", "n"))
-        comp = t["comp"].to_numpy()
-        sig = _signatures(t["sig"].combine_chunks())
-        starts = np.flatnonzero(np.diff(key, prepend=key[0] + 1 if len(key) else 0))
-        sizes = np.diff(np.append(starts, len(key)))
-        short = np.repeat(sizes <= SHORT, sizes)
-        for d in range(1, SHORT):
-            a = np.flatnonzero((key[:-d] == key[d:]) & short[:-d]) if len(key) > d else np.zeros(0, np.int64)
-            if not len(a):
-                break
-            good = fits(a, a + d, n, sig, comp)
-            yield out(row[a[good]], row[a[good] + d])
-        for s, m in zip(starts[sizes > SHORT], sizes[sizes > SHORT]):
-            for a, b in chosen(int(key[s]), int(m), row[s : s + m]):
-                good = fits(a + s, b + s, n, sig, comp)
-                yield out(row[a[good] + s], row[b[good] + s])
 
-    def out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+def _streamed(of: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
+    """Gives whole lists to `of`: rows come sorted by list, and the last list of a batch may go on in the next."""
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
             keys = batch["key"].to_numpy()
             if not len(keys):
                 continue
-            cut = int(np.searchsorted(keys, keys[-1]))  # the last list may go on in the next batch
+            cut = int(np.searchsorted(keys, keys[-1]))
             if cut or (held and held[-1]["key"][-1].as_py() != keys[0]):
                 yield from of(pa.Table.from_batches([*held, batch.slice(0, cut)]))
                 held = []
@@ -155,12 +117,140 @@ def _pairing(threshold: float, exhaustive: bool, same_component: bool):
         if held:
             yield from of(pa.Table.from_batches(held))
 
-    return pair
+    return run
+
+
+def _out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+
+def _pairing(threshold: float):
+    """Lists of one value -> pairs whose sizes and retained values allow the threshold: all of short lists,
+    those with leaders and neighbours of long ones."""
+
+    def of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, row, n = (t[c].to_numpy() for c in ("key", "row", "n"))
+        sig = _signatures(t["sig"].combine_chunks())
+
+        def fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+            small, large = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
+            good = np.flatnonzero((small >= threshold * large - 1e-9) & (a != b))
+            found = np.zeros(len(a), bool)
+            for i in range(0, len(good), 50_000):
+                g = good[i : i + 50_000]
+                found[g] = _shared(sig[a[g]], sig[b[g]]).sum(axis=1) >= np.minimum(OVERLAP, large[g])
+            return found
+
+        starts = np.flatnonzero(np.diff(key, prepend=key[0] + 1 if len(key) else 0))
+        sizes = np.diff(np.append(starts, len(key)))
+        short = np.repeat(sizes <= SHORT, sizes)
+        for d in range(1, SHORT):
+            a = np.flatnonzero((key[:-d] == key[d:]) & short[:-d]) if len(key) > d else np.zeros(0, np.int64)
+            if not len(a):
+                break
+            good = fits(a, a + d)
+            yield _out(row[a[good]], row[a[good] + d])
+        for s, m in zip(starts[sizes > SHORT].tolist(), sizes[sizes > SHORT].tolist()):
+            every = np.arange(s, s + m)
+            order = np.argsort(mix(row[every].view(np.uint64) ^ key[s : s + 1].view(np.uint64)))
+            some = [(np.full(m, s + leader), every) for leader in order[:LEADERS]] + [(every[:-d], every[d:]) for d in range(1, NEIGHBOURS + 1)]
+            for a, b in some:
+                good = fits(a, b)
+                yield _out(row[a[good]], row[b[good]])
+
+    return _streamed(of)
+
+
+def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each three of the long lists that a text is on."""
+    for batch in batches:
+        keys = [np.unique((np.array(k, np.int64).view(np.uint64) >> np.uint64(32)).astype(np.uint32)) for k in batch["keys"].to_pylist()]
+        three = [np.array(list(combinations(range(len(k)), 3)), np.int64).reshape(-1, 3) for k in keys]
+        sizes = np.array([len(x) for x in three], np.int64)
+        picked = np.concatenate([k[x] for k, x in zip(keys, three)]) if len(keys) else np.zeros((0, 3), np.uint32)
+        wide = picked.astype(np.uint64)
+        hashed = mix(mix(mix(wide[:, 0]) * _ODD + wide[:, 1]) * _ODD + wide[:, 2])
+        each = pa.array(np.repeat(np.arange(len(keys)), sizes))
+        out = {c: batch[c].take(each) for c in ("row", "n", "own", "comp")}
+        out |= {"key": pa.array(hashed.view(np.int64)), "three": pa.array([x.tobytes() for x in picked], pa.binary()), "sig": pa.array([k.tobytes() for k in keys], pa.binary()).take(each)}
+        yield pa.record_batch({c: out[c] for c in ("key", "row", "n", "own", "comp", "three", "sig")})
+
+
+def _crossing(threshold: float):
+    """Lists of three values -> all pairs across components that may reach the threshold, each on the list of its
+    three smallest shared values alone. `own` of a text's shingles are in no other text of these lists.
+    Where a component has very many texts on a list, the others ask for the component (asks: b is its root)."""
+
+    def of(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, row, n, own, comp = (t[c].to_numpy() for c in ("key", "row", "n", "own", "comp"))
+        sig = _signatures(t["sig"].combine_chunks())
+        three = np.frombuffer(b"".join(t["three"].to_pylist()), np.uint32).reshape(-1, 3)
+        starts = np.flatnonzero(np.diff(key, prepend=key[0] + 1 if len(key) else 0))
+        asked: set[tuple[int, int]] = set()
+        for s, e in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist()):
+            names, at = np.unique(comp[s:e], return_inverse=True)
+            if len(names) == 1:
+                continue
+            most = np.bincount(at).argmax()
+            rest = s + np.flatnonzero(at != most)
+            every = np.concatenate([s + np.flatnonzero(at == most), rest])
+            first = len(every) - len(rest)
+            for k, u in enumerate(rest.tolist()):
+                known = (int(row[u]), int(names[most])) in asked
+                v = every[first * known : first + k]  # the largest component, and those of the others that came before
+                v = v[comp[v] != comp[u]]
+                shared = np.minimum(n[u] - own[u], n[v] - own[v])
+                v = v[shared >= threshold * (n[u] + n[v] - shared) - 1e-9]
+                for i in range(0, len(v), 50_000):
+                    w = v[i : i + 50_000]
+                    x = np.broadcast_to(sig[u], (len(w), LISTED))
+                    both = _shared(x, sig[w])
+                    low = np.argsort(~both, axis=1, kind="stable")[:, :3]
+                    good = (both.sum(axis=1) >= 3) & (np.take_along_axis(x, low, axis=1) == three[u]).all(axis=1)
+                    if good.any():
+                        hit = w[good]
+                        crowd = hit[comp[hit] == names[most]] if first >= CROWD else hit[:0]
+                        if len(crowd):
+                            asked.add((int(row[u]), int(names[most])))
+                            yield pa.record_batch({"a": pa.array([row[u]]), "b": pa.array([names[most]]), "asks": pa.array([True])})
+                            hit = hit[comp[hit] != names[most]]
+                        yield pa.record_batch({"a": pa.array(np.minimum(row[hit], row[u])), "b": pa.array(np.maximum(row[hit], row[u])), "asks": pa.array(np.zeros(len(hit), bool))})
+
+    return _streamed(of)
+
+
+def _matcher(held, threshold: float):
+    """Members of components with their full sets -> links to the texts of one block that ask for them."""
+    percent = round(100 * threshold)
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, sets, asks = held.value
+        sizes = np.array([len(x) for x in sets], np.int64)
+        hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+        for batch in batches:
+            for row, comp, blob in zip(batch["row"].to_pylist(), batch["comp"].to_pylist(), batch["v"].to_pylist()):
+                own = np.frombuffer(blob, np.uint64)
+                low, high = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
+                shared = np.bincount(owner[ragged(low, high - low)], minlength=len(sets))
+                good = np.flatnonzero((100 * shared >= percent * (sizes + len(own) - shared)) & asks[comp])
+                if len(good):
+                    yield _out(rows[good], np.full(len(good), row))
+
+    return match
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch["v"].to_pylist()]
+        each = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]).astype(np.int64))
+        yield pa.record_batch({"row": batch["row"].take(each), "h": pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))})
 
 
 def _estimate(threshold: float):
     """Pairs with both sketches -> those whose union's sketch allows the threshold; sure: the sketches hold whole sets, which reach it."""
-    least = SKETCH * threshold - 5.5 * (SKETCH * threshold * (1 - threshold)) ** 0.5
+    least = SKETCH * threshold - 4.5 * (SKETCH * threshold * (1 - threshold)) ** 0.5
     percent = round(100 * threshold)
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,19 +290,21 @@ def _confirm(threshold: float):
     return confirm
 
 
-def _with_both(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """pairs: a, b; held: row, v. Out: a, b, x, y with the values of both; a row that is in very many pairs is spread."""
+def _with_both(pairs: DataFrame, held: DataFrame, small: int) -> DataFrame:
+    """pairs (a table): a, b; held: row, v. Out: a, b, x, y with the values of both; a row that is in very many pairs is spread."""
+    out = pairs.repartition(workers(pairs.sparkSession))
     for end, name in (("a", "x"), ("b", "y")):
         weights = pairs.groupBy(end).agg(F.count("*").alias("w"))
-        values = weights.join(held.select(F.col("row").alias(end), F.col("v").alias(name)), end)
-        pairs = join_unique(pairs, values, [end], "w").drop("w")
-    return pairs
+        values = stage(weights.join(held.select(F.col("row").alias(end), F.col("v").alias(name)), end), "values")
+        out = join_unique(out, values, [end], "w", small=small).drop("w")
+    return out
 
 
 class _Linker:
     def __init__(self, docs: DataFrame, n_words: int, threshold: float):
         self.docs, self.n_words, self.threshold = docs.select("doc_id", "text"), n_words, threshold
         self.links: list[DataFrame] = []
+        self.roots, self.seen = None, 0
         rows = self.docs.withColumn("row", F.monotonically_increasing_id())
         self.sketched = stage(rows.mapInArrow(_sketcher(n_words, False), "row long, doc_id long, n long, h1 long, h2 long, sketch binary"), "sketches")
         key = ["n", "h1", "h2"]
@@ -225,13 +317,18 @@ class _Linker:
         """node, root by the links so far."""
         if not self.links:
             return self.nodes.select(F.col("row").alias("node"), F.col("row").alias("root")).limit(0)
-        every = self.links[0]
-        for more in self.links[1:]:
-            every = every.union(more)
-        return components(every)
+        if self.seen < len(self.links):
+            new = self.links[self.seen :]
+            edges = new[0]
+            for more in new[1:]:
+                edges = edges.union(more)
+            if self.roots is not None:  # components so far are stars, which fall together in one round
+                edges = edges.union(self.roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+            self.roots, self.seen = components(edges), len(self.links)
+        return self.roots
 
     def across(self, pairs: DataFrame) -> DataFrame:
-        """The pairs whose ends aren't in one component yet."""
+        """The pairs (a table) whose ends aren't in one component yet."""
         roots = self.joined()
         for end in "ab":
             pairs = pairs.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
@@ -239,21 +336,23 @@ class _Linker:
 
     def resolve(self, pairs: DataFrame) -> None:
         """Adds those of the candidates that are links, as far as components need them."""
+        pairs = stage(pairs.distinct(), "pairs")
         held = self.nodes.select("row", F.col("sketch").alias("v"))
-        near = stage(_with_both(pairs.distinct(), held).mapInArrow(_estimate(self.threshold), "a long, b long, near double, sure boolean"), "near")
+        near = stage(_with_both(pairs, held, 20_000).mapInArrow(_estimate(self.threshold), "a long, b long, near double, sure boolean"), "near")
         self.links.append(near.where("sure").select("a", "b"))
         open_ = stage(self.across(near.where("not sure")), "open")
         if open_.isEmpty():
             return
         sets = self.sets(open_.select(F.explode(F.array("a", "b")).alias("row")).distinct())
         best = [open_.groupBy(x).agg(F.max_by(y, "near").alias(y)).select("a", "b") for x, y in ("ab", "ba")]
-        first = best[0].union(best[1]).distinct()
+        first = stage(best[0].union(best[1]).distinct(), "first")
         self.confirm(first, sets)
-        rest = open_.select("a", "b").join(first, ["a", "b"], "left_anti")
-        self.confirm(stage(self.across(rest), "rest"), sets)
+        rest = stage(self.across(open_.select("a", "b").join(first, ["a", "b"], "left_anti")), "rest")
+        if not rest.isEmpty():
+            self.confirm(rest, sets)
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> None:
-        self.links.append(stage(_with_both(pairs, sets).mapInArrow(_confirm(self.threshold), "a long, b long"), "links"))
+        self.links.append(stage(_with_both(pairs, sets, 1_000).mapInArrow(_confirm(self.threshold), "a long, b long"), "links"))
 
     def sets(self, rows: DataFrame) -> DataFrame:
         """row, v: full sets of these rows, from another pass over their texts alone."""
@@ -265,40 +364,69 @@ class _Linker:
         found = texts.select("text").mapInArrow(_sketcher(self.n_words, True), "n long, h1 long, h2 long, shingles binary")
         return stage(found.join(wanted, ["n", "h1", "h2"]).select("row", F.col("shingles").alias("v")).dropDuplicates(["row"]), "sets")
 
-    def paired(self, entries: DataFrame, salt: bool, exhaustive: bool) -> DataFrame:
-        """entries: key, row, n, sig, comp, w (the list's length)."""
+    def paired(self, entries: DataFrame) -> DataFrame:
+        """entries: key, row, n, sig, w (the list's length)."""
         # A very long list is read in shares, each with leaders of its own.
-        share = F.when(F.lit(salt) & (F.col("w") > 5000), F.xxhash64(F.col("key"), F.pmod(F.xxhash64("row"), F.ceil(F.col("w") / 2500)))).otherwise(F.col("key"))
-        entries = entries.select(share.alias("key"), "row", "n", "sig", "comp").repartition("key").sortWithinPartitions("key", "sig")
-        return entries.mapInArrow(_pairing(self.threshold, exhaustive, False), "a long, b long")
+        share = F.when(F.col("w") > 5000, F.xxhash64(F.col("key"), F.pmod(F.xxhash64("row"), F.ceil(F.col("w") / 2500)))).otherwise(F.col("key"))
+        entries = entries.select(share.alias("key"), "row", "n", "sig").repartition(workers(entries.sparkSession), "key").sortWithinPartitions("key", "sig")
+        return entries.mapInArrow(_pairing(self.threshold), "a long, b long")
 
     def listed(self, entries: DataFrame, least: int) -> DataFrame:
-        """Those of entries (key, row, n, sig, comp) whose list has `least` rows at least and joins several components, with its length."""
+        """Those of entries (key, row, comp and others) whose list has `least` rows at least and joins several components, with its length."""
         lists = entries.groupBy("key").agg(F.count("*").alias("w"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         lists = stage(lists.where((F.col("w") >= least) & (F.col("low") != F.col("high"))).select("key", F.col("w"), F.lit(1).alias("found")), "lists")
         return stage(join_unique(entries, lists, ["key"], "w").where("found = 1").drop("found"), "listed")
 
+    def own_shingles(self, rows: DataFrame) -> DataFrame:
+        """row, own: how many of its shingles are in no other of these rows."""
+        single = self.sets(rows).mapInArrow(_exploded, "row long, h long").groupBy("h").agg(F.count("*").alias("c"), F.min("row").alias("row")).where("c = 1")
+        return stage(single.groupBy("row").agg(F.count("*").alias("own")), "own")
+
     def run(self) -> None:
         entries = self.nodes.mapInArrow(_lists, "key long, row long, n long, sig binary").withColumn("comp", F.col("row"))
         listed = self.listed(entries, 2)
-        self.resolve(self.paired(listed, True, False))
-        long = listed.where(F.col("w") > SHORT)
-        for depth in (2, 3):
-            roots = self.joined().select(F.col("node").alias("row"), "root")
-            entries = long.drop("comp", "w").join(roots, "row", "left").withColumn("comp", F.coalesce("root", "row")).drop("root")
-            long = self.listed(entries, SHORT + 1)
-            if long.isEmpty():
-                return
-            own = long.groupBy("row").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("comp").alias("comp"), F.array_sort(F.collect_set("key")).alias("keys"))
-            split = own.withColumn("i", F.explode(F.expr("sequence(0, size(keys) - 1)")))
-            split = split.select("*", F.explode(F.expr("slice(keys, i + 2, size(keys))")).alias("k2")).select("row", "n", "sig", "comp", "keys", F.expr("keys[i]").alias("k1"), "k2")
-            if depth == 3:
-                split = split.select("*", F.explode(F.expr("filter(keys, k -> k > k2)")).alias("k3"))
-            names = ["k1", "k2", "k3"][:depth]
-            finer = self.listed(split.select(F.xxhash64(*names, F.lit(depth)).alias("key"), "row", "n", "sig", "comp"), 2)
-            if finer.isEmpty():
-                return
-            self.resolve(self.paired(finer, depth == 2, depth == 3))
+        self.resolve(self.paired(listed))
+        # Long lists that still join several components: all pairs across components that share three of them
+        # (a pair that shares another list has been met there, or is in one component by now).
+        roots = self.joined().select(F.col("node").alias("row"), "root")
+        long = listed.where(F.col("w") > SHORT).drop("comp", "w", "sig").join(roots, "row", "left").withColumn("comp", F.coalesce("root", "row")).drop("root")
+        long = self.listed(long, SHORT + 1)
+        texts = long.groupBy("row").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_set("key").alias("keys"))
+        texts = stage(texts.where(F.size("keys") >= OVERLAP), "on-long-lists")
+        if texts.isEmpty():
+            return
+        own = self.own_shingles(texts.select("row"))
+        texts = texts.join(own, "row", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("long"))
+        schema = "key long, row long, n long, own long, comp long, three binary, sig binary"
+        finer = self.listed(texts.repartition(workers(texts.sparkSession)).select("row", "n", "own", "comp", "keys").mapInArrow(_triples, schema), 2)
+        if finer.isEmpty():
+            return
+        sorted_ = finer.repartition(workers(finer.sparkSession), "key").sortWithinPartitions("key")
+        met = stage(sorted_.select("key", "row", "n", "own", "comp", "three", "sig").mapInArrow(_crossing(self.threshold), "a long, b long, asks boolean").distinct(), "met")
+        self.resolve(met.where("not asks").select("a", "b"))
+        self.answer(met.where("asks").select("a", "b"), texts.select("row", "comp"))
+
+    def answer(self, asks: DataFrame, texts: DataFrame, block: int = 2000) -> None:
+        """Adds the links of texts (a) with any member of the components (b) that they ask for: the asking texts, in
+        blocks, against all members."""
+        asking = asks.select(F.col("a").alias("row")).distinct()
+        n = -(-asking.count() // block)
+        if not n:
+            return
+        members = texts.join(asks.select(F.col("b").alias("comp")).distinct(), "comp", "left_semi")
+        members = stage(self.sets(members.select("row")).join(members, "row").select("row", "comp", "v"), "members")
+        sets = self.sets(asking)
+        for i in range(n):
+            mine = sets.where(F.pmod(F.xxhash64("row"), F.lit(n)) == i).toArrow()  # about `block` sets
+            if not len(mine):
+                continue
+            place = {r: k for k, r in enumerate(mine["row"].to_pylist())}
+            wanted: dict[int, np.ndarray] = {}
+            for r in asks.where(F.pmod(F.xxhash64("a"), F.lit(n)) == i).toLocalIterator():
+                wanted.setdefault(r["b"], np.zeros(len(place), bool))[place[r["a"]]] = True
+            held = asks.sparkSession.sparkContext.broadcast((np.array(list(place), np.int64), [np.frombuffer(x, np.uint64) for x in mine["v"].to_pylist()], wanted))
+            some = members.where(F.col("comp").isin(list(wanted)))
+            self.links.append(stage(some.repartition(workers(asks.sparkSession)).mapInArrow(_matcher(held, self.threshold), "a long, b long"), "links"))
 
 
 def near_dedup(docs: DataFrame, n_words: int = 5, threshold: float = 0.8) -> DataFrame:
