@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import text_queries, vector_queries  # noqa: F401
+from . import graph_queries, source_queries, text_queries, vector_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
