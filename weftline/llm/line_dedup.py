@@ -16,6 +16,7 @@ result. New columns replace those of the same name. Keys are told apart by 128 b
 from __future__ import annotations
 
 import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -150,14 +151,15 @@ class Shards:
         return found, top
 
 
-_of_worker: dict[int, Shards] = {}
+_of_worker: dict[str, Shards] = {}
 
 
-def _shards(held, shards: int) -> Shards:
-    if id(held) not in _of_worker:
+def _shards(held, stamp: str, shards: int) -> Shards:
+    """One broadcast's arrays, unpacked once in each Python worker; stamp: its name (an object's id may come again)."""
+    if stamp not in _of_worker:
         _of_worker.clear()
-        _of_worker[id(held)] = Shards(held.value, shards)
-    return _of_worker[id(held)]
+        _of_worker[stamp] = Shards(held.value, shards)
+    return _of_worker[stamp]
 
 
 def _marks(docs: list, texts: list, arrays: Shards, least: int) -> dict[int, list[int]]:
@@ -211,26 +213,27 @@ def line_dedup(docs: DataFrame, min_points: int = MIN_POINTS, min_docs: int = MI
         room -= row["size"]
 
     def held(some: list[int]):
-        return spark.sparkContext.broadcast({r["shard"]: bytes(r["blob"]) for r in built.where(F.col("shard").isin(some)).select("shard", "blob").toLocalIterator()})
+        blobs = {r["shard"]: bytes(r["blob"]) for r in built.where(F.col("shard").isin(some)).select("shard", "blob").toLocalIterator()}
+        return spark.sparkContext.broadcast(blobs), uuid.uuid4().hex
 
     schema = T.StructType([whole.schema["doc_id"], T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), whole.schema["rest"]])
     if len(rounds) == 1:
-        arrays = held(rounds[0])
+        arrays, stamp = held(rounds[0])
 
         def in_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield _rewrite(batch, _marks(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), _shards(arrays, shards), min_points))
+                yield _rewrite(batch, _marks(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), _shards(arrays, stamp, shards), min_points))
 
         out = whole.mapInArrow(in_one, schema)
     else:
         whole = stage(whole.withColumn("row", F.monotonically_increasing_id()), "line-texts")
         marked = None
         for some in rounds:
-            arrays = held(some)
+            arrays, stamp = held(some)
 
-            def in_turn(batches: Iterator[pa.RecordBatch], arrays=arrays) -> Iterator[pa.RecordBatch]:
+            def in_turn(batches: Iterator[pa.RecordBatch], arrays=arrays, stamp=stamp) -> Iterator[pa.RecordBatch]:
                 for batch in batches:
-                    marks = _marks(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), _shards(arrays, shards), min_points)
+                    marks = _marks(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), _shards(arrays, stamp, shards), min_points)
                     ids = batch["row"].to_pylist()
                     yield pa.record_batch([pa.array([ids[r] for r in marks], pa.int64()), pa.array(list(marks.values()), pa.list_(pa.int32()))], names=["row", "gone"])
 
