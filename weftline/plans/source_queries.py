@@ -128,14 +128,13 @@ def gold_mentions(t):
     return out.select("doc", F.col("k").cast("long").alias("k"), "m.start", "m.mention", "m.id")
 
 
-@query("""WITH l AS (SELECT *, CASE WHEN l_linenumber = 1 THEN 'B' ELSE 'I' END AS tag FROM lineitem)
-  SELECT dense_rank() OVER (ORDER BY l_orderkey) AS doc, CAST(min(l_partkey) FILTER (l_linenumber = 1) AS VARCHAR) AS mention, count(*) AS length, CAST(min(l_suppkey) FILTER (l_linenumber = 1) AS VARCHAR) AS entity FROM l GROUP BY l_orderkey""")
+@query("SELECT 1 AS doc, CAST(o_custkey AS VARCHAR) AS mention, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 1 END AS length, o_orderpriority AS entity FROM orders")
 def conll_reader(t):
-    items = t("lineitem").withColumn("n", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
-    tag = F.when(F.col("l_linenumber") == 1, "B").otherwise("I")
-    rows = items.select("n", F.concat_ws("\t", F.lit("w"), tag, "l_partkey", F.lit("y"), "l_suppkey").alias("value"))
-    heads = t("lineitem").select((F.col("l_orderkey") * 100).alias("n")).distinct().select("n", F.lit("-DOCSTART-").alias("value"))
-    return L.conll(rows.union(heads).withColumn("file", F.lit("f")))
+    o = t("orders")
+    first = o.select((F.col("o_orderkey") * 2).alias("n"), F.concat_ws("\t", F.lit("w"), F.lit("B"), "o_custkey", F.lit("y"), "o_orderpriority").alias("value"))
+    more = o.where("o_orderkey % 2 = 0").select((F.col("o_orderkey") * 2 + 1).alias("n"), F.concat_ws("\t", F.lit("w"), F.lit("I"), "o_custkey", F.lit("y"), "o_orderpriority").alias("value"))
+    head = t.spark.createDataFrame([(-1, "-DOCSTART-")], "n long, value string")
+    return L.conll(head.union(first).union(more).withColumn("file", F.lit("f")))
 
 
 @query("""WITH l AS (SELECT conv_id, turn, text, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - 1 AS o FROM conversations)
