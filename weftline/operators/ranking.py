@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from weftline.functions.vectors import log2
 
-_Q = Window.partitionBy("query")
+def _query():
+    """Built when it is used: a window needs a session."""
+    return Window.partitionBy("query")
 
 
 def reciprocal_rank(lists: DataFrame) -> DataFrame:
@@ -17,7 +19,7 @@ def reciprocal_rank(lists: DataFrame) -> DataFrame:
 
 def r_precision(lists: DataFrame) -> DataFrame:
     """The mean relevance up to the last relevant item."""
-    last = lists.withColumn("last", F.max(F.when(F.col("rel") > 0, F.col("rank"))).over(_Q))
+    last = lists.withColumn("last", F.max(F.when(F.col("rel") > 0, F.col("rank"))).over(_query()))
     value = F.avg(F.when(F.col("rank") <= F.col("last"), (F.col("rel") > 0).cast("int")))
     return last.groupBy("query").agg(F.coalesce(value, F.lit(0.0)).alias("r_precision"))
 
@@ -29,7 +31,7 @@ def precision_at(lists: DataFrame, k: int) -> DataFrame:
 
 
 def average_precision(lists: DataFrame) -> DataFrame:
-    hits = F.sum((F.col("rel") > 0).cast("int")).over(_Q.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    hits = F.sum((F.col("rel") > 0).cast("int")).over(_query().orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     value = F.avg(F.when(F.col("rel") > 0, F.col("hits") / F.col("rank")))
     return lists.withColumn("hits", hits).groupBy("query").agg(F.coalesce(value, F.lit(0.0)).alias("ap"))
 
@@ -47,7 +49,7 @@ def dcg(lists: DataFrame, k: int, method: int = 0) -> DataFrame:
 
 def ndcg(lists: DataFrame, k: int, method: int = 0) -> DataFrame:
     """0 where the ideal is 0."""
-    ideal = lists.withColumn("best", F.row_number().over(_Q.orderBy(F.desc("rel"), "rank")))
+    ideal = lists.withColumn("best", F.row_number().over(_query().orderBy(F.desc("rel"), "rank")))
     part = lambda rank: F.sum(F.when(F.col(rank) <= k, _gain(F.col("rel"), F.col(rank), method)))
     both = ideal.groupBy("query").agg(part("rank").alias("dcg"), part("best").alias("top"))
     return both.select("query", F.when(F.col("top") > 0, F.col("dcg") / F.col("top")).otherwise(0.0).alias("ndcg"))

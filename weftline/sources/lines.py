@@ -12,12 +12,19 @@ MOST_BLANKS = 135
 
 
 def lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
-    """file, n, value: the lines of text files, numbered within their file by position."""
-    raw = spark.read.option("encoding", encoding).option("wholetext", True).text(path)
+    """file, n, value: the lines of files that a task can hold, numbered from 0 within their file."""
+    raw = spark.read.option("encoding", encoding).text(path, wholetext=True)
     whole = raw.select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
     return whole.where("value <> '' or n = 0")
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, n, value for files of any size, read in splits: n orders a file's lines, but isn't their number."""
+    raw = spark.read.text(path)
+    place = F.col("_metadata.file_block_start").cast("decimal(38,0)") * F.lit(1 << 34) + F.monotonically_increasing_id() % F.lit(1 << 33)
+    return raw.select(F.col("_metadata.file_path").alias("file"), place.cast("decimal(38,0)").alias("n"), "value")
+
+
 def fields(c: Column, separator: str = "\t") -> Column:
     return F.split(c, separator)
 
