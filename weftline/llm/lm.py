@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,16 @@ _START, _ODD = np.uint64(0x5851F42D4C957F2D), np.uint64(0x9E3779B97F4A7C15)
 _ENCODED = "chunk long, docs binary, none binary, held binary, first binary, word binary, uniq binary, trained binary, n_trained long"
 
 
+def _packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, byte planes one after the other, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _numbers(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel()
+
+
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     k = 0
     for batch in batches:
@@ -50,10 +61,14 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = batch["held_out"].to_numpy(zero_copy_only=False)
         for i, j in blocks(offsets, CHUNK):
             hashes, _, _, first = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            uniq, word = np.unique(hashes, return_inverse=True)
+            uniq, word, times = np.unique(hashes, return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(uniq), np.uint32)
+            rank[order] = np.arange(len(uniq), dtype=np.uint32)
+            uniq, word = uniq[order], rank[word]
             training = np.repeat(~held[i:j], np.diff(first))
             trained = np.bincount(word[training], minlength=len(uniq)).astype(np.uint32)
-            row = [(int(part[0]) << 32) + k, docs[i:j].tobytes(), none[i:j].tobytes(), held[i:j].tobytes(), first.astype(np.int64).tobytes(), word.astype(np.uint32).tobytes(), uniq.tobytes(), trained.tobytes(), int((~held[i:j]).sum())]
+            row = [(int(part[0]) << 32) + k, docs[i:j].tobytes(), none[i:j].tobytes(), held[i:j].tobytes(), first.astype(np.int64).tobytes(), _packed(word), uniq.tobytes(), trained.tobytes(), int((~held[i:j]).sum())]
             k += 1
             kinds = [pa.int64(), *[pa.binary()] * 7, pa.int64()]
             yield pa.record_batch([pa.array([x], t) for x, t in zip(row, kinds)], names=[c.split()[0] for c in _ENCODED.split(", ")])
@@ -129,7 +144,7 @@ def _descend(weights: np.ndarray, squares: np.ndarray, number: np.ndarray, targe
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, ...]:
-    return tuple(np.frombuffer(row[c], t) for c, t in (("docs", np.int64), ("none", bool), ("held", bool), ("first", np.int64), ("word", np.uint32), ("uniq", np.uint64)))
+    return tuple(_numbers(row[c]) if c == "word" else np.frombuffer(row[c], t) for c, t in (("docs", np.int64), ("none", bool), ("held", bool), ("first", np.int64), ("word", None), ("uniq", np.uint64)))
 
 
 PIECES_OF_MODEL = 16
@@ -187,7 +202,7 @@ def _asker(owners: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, uniq in zip(batch["chunk"].to_pylist(), batch["uniq"].to_pylist()):
-                h = np.frombuffer(uniq, np.uint64)
+                h = np.sort(np.frombuffer(uniq, np.uint64))
                 cuts = np.searchsorted(_owner(h, owners), np.arange(owners + 1))
                 yield pa.record_batch({"owner": pa.array(np.arange(owners, dtype=np.int64)), "chunk": pa.array([chunk] * owners, pa.int64()), "h": pa.array([h[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())})
 
@@ -206,7 +221,7 @@ def _answer(asked: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
             at = np.minimum(np.searchsorted(h, want), len(h) - 1)
             same = h[at] == want
             got[same] = c[at[same]]
-        out.append(got.tobytes())
+        out.append(bytes([8 if got.max(initial=0) >> 32 else 4]) + got.astype("<i8" if got.max(initial=0) >> 32 else "<u4").tobytes())
     return pd.DataFrame({"owner": asked["owner"], "chunk": asked["chunk"], "c": out})
 
 
@@ -218,9 +233,11 @@ def _scorer(held, top: np.ndarray, total: int, distinct: int, ends: int, sizes:
 
     def score(chunks: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         weights, features, out = held.value, Features(top), []
-        counts = np.concatenate([np.frombuffer(x, np.int64) for x in answers.sort_values("owner")["c"]])
+        in_order = np.concatenate([np.frombuffer(x, "<i8" if x[0] == 8 else "<u4", offset=1).astype(np.int64) for x in answers.sort_values("owner")["c"]])
         for row in chunks.to_dict("records"):
             docs, none, held_, first, word, uniq = _unpacked(row)
+            counts = np.empty(len(uniq), np.int64)
+            counts[np.argsort(uniq)] = in_order  # answers follow the sorted hashes
             classes = features.classes(uniq)
             number, target = features.of(uniq[word], first), features.targets(classes, word, first)
             texts = len(first) - 1
