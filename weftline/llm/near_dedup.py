@@ -9,7 +9,7 @@ Candidates are filtered by the similarity that their union's sketch estimates, a
 confirmed on full sets: each text's likeliest partners first, then pairs that are still across
 components, so that a large group of copies costs a few comparisons for each copy. The chance that
 two texts at the threshold itself don't meet or fail the estimate is about one in a hundred thousand,
-and far less above it. A list of three values is read by one task.
+and far less above it. Vectors of values are joined by shuffles at every size. A list of three values is read by one task.
 
 Defined cases: a text that is null or has no word has an empty set and is linked with nothing; a
 text with fewer words than a shingle has one shingle, the whole; rows that repeat a doc_id are
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import blocks, join_unique, mix, ragged, stage, strings, table, words, workers
 from .components import components
 
-SKETCH, LISTED, SHORT, LEADERS, NEIGHBOURS, OVERLAP, CROWD = 64, 12, 32, 4, 2, 3, 128
+SKETCH, LISTED, SHORT, LEADERS, NEIGHBOURS, OVERLAP, CROWD = 128, 12, 32, 1, 1, 3, 128
 BROADCAST_IDS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,8 +69,12 @@ def _sketcher(n_words: int, whole: bool):
             digests = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
             columns = {} if whole else {"row": batch["row"], "doc_id": batch["doc_id"]}
             columns |= {"n": pa.array([len(s) for s in sets], pa.int64()), "h1": pa.array(digests[:, 0].copy()), "h2": pa.array(digests[:, 1].copy())}
-            name, most = ("shingles", None) if whole else ("sketch", SKETCH)
-            yield pa.record_batch(columns | {name: pa.array([s[:most].tobytes() for s in sets], pa.binary())})
+            if whole:
+                columns["shingles"] = pa.array([x.tobytes() for x in sets], pa.binary())
+            else:
+                columns["low"] = pa.array([x[:LISTED].tobytes() for x in sets], pa.binary())
+                columns["sketch"] = pa.array([(x[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for x in sets], pa.binary())
+            yield pa.record_batch(columns)
 
     return sketch
 
@@ -78,7 +82,7 @@ def _sketcher(n_words: int, whole: bool):
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each of a sketch's first values."""
     for batch in batches:
-        sketches = [np.frombuffer(x, np.uint64)[:LISTED] for x in batch["sketch"].to_pylist()]
+        sketches = [np.frombuffer(x, np.uint64) for x in batch["low"].to_pylist()]
         sizes = np.fromiter(map(len, sketches), np.int64, len(sketches))
         each = pa.array(np.repeat(np.arange(len(sketches)), sizes))
         short = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sketches]
@@ -179,7 +183,8 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _crossing(threshold: float):
     """Lists of three values -> all pairs across components that may reach the threshold, each on the list of its
     three smallest shared values alone. `own` of a text's shingles are in no other text of these lists.
-    Where a component has very many texts on a list, the others ask for the component (asks: b is its root)."""
+    Where a component has very many texts on a list, the others ask for the component (asks: b is its root), and
+    where very many texts are outside of the largest component, they ask for each other (b is -1)."""
 
     def of(t: pa.Table) -> Iterator[pa.RecordBatch]:
         key, row, n, own, comp = (t[c].to_numpy() for c in ("key", "row", "n", "own", "comp"))
@@ -195,9 +200,10 @@ def _crossing(threshold: float):
             rest = s + np.flatnonzero(at != most)
             every = np.concatenate([s + np.flatnonzero(at == most), rest])
             first = len(every) - len(rest)
+            many = len(rest) >= CROWD
             for k, u in enumerate(rest.tolist()):
-                known = (int(row[u]), int(names[most])) in asked
-                v = every[first * known : first + k]  # the largest component, and those of the others that came before
+                low, high = first * ((int(row[u]), int(names[most])) in asked), first + k * (not (many and (int(row[u]), -1) in asked))
+                v = every[low:high]  # the largest component, and those of the others that came before
                 v = v[comp[v] != comp[u]]
                 shared = np.minimum(n[u] - own[u], n[v] - own[v])
                 v = v[shared >= threshold * (n[u] + n[v] - shared) - 1e-9]
@@ -205,16 +211,19 @@ def _crossing(threshold: float):
                     w = v[i : i + 50_000]
                     x = np.broadcast_to(sig[u], (len(w), LISTED))
                     both = _shared(x, sig[w])
-                    low = np.argsort(~both, axis=1, kind="stable")[:, :3]
-                    good = (both.sum(axis=1) >= 3) & (np.take_along_axis(x, low, axis=1) == three[u]).all(axis=1)
-                    if good.any():
-                        hit = w[good]
-                        crowd = hit[comp[hit] == names[most]] if first >= CROWD else hit[:0]
-                        if len(crowd):
-                            asked.add((int(row[u]), int(names[most])))
-                            yield pa.record_batch({"a": pa.array([row[u]]), "b": pa.array([names[most]]), "asks": pa.array([True])})
-                            hit = hit[comp[hit] != names[most]]
-                        yield pa.record_batch({"a": pa.array(np.minimum(row[hit], row[u])), "b": pa.array(np.maximum(row[hit], row[u])), "asks": pa.array(np.zeros(len(hit), bool))})
+                    least = np.argsort(~both, axis=1, kind="stable")[:, :3]
+                    hit = w[(both.sum(axis=1) >= 3) & (np.take_along_axis(x, least, axis=1) == three[u]).all(axis=1)]
+                    near = comp[hit] == names[most]
+                    asks = [(int(row[u]), int(names[most]))] if first >= CROWD and near.any() else []
+                    asks += [(int(row[j]), -1) for j in [u, *hit[~near].tolist()]] if many and not near.all() else []
+                    asks = [x for x in dict.fromkeys(asks) if x not in asked]
+                    asked.update(asks)
+                    yield out([a for a, _ in asks], [b for _, b in asks], True)
+                    hit = hit[~((near & (first >= CROWD)) | (~near & many))]
+                    yield out(np.minimum(row[hit], row[u]), np.maximum(row[hit], row[u]), False)
+
+    def out(a, b, asks: bool) -> pa.RecordBatch:
+        return pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "asks": pa.array([asks] * len(a), pa.bool_())})
 
     return _streamed(of)
 
@@ -234,7 +243,7 @@ def _matcher(held, threshold: float):
                 own = np.frombuffer(blob, np.uint64)
                 low, high = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
                 shared = np.bincount(owner[ragged(low, high - low)], minlength=len(sets))
-                good = np.flatnonzero((100 * shared >= percent * (sizes + len(own) - shared)) & asks[comp])
+                good = np.flatnonzero((100 * shared >= percent * (sizes + len(own) - shared)) & asks[comp] & (rows != row))
                 if len(good):
                     yield _out(rows[good], np.full(len(good), row))
 
@@ -249,26 +258,20 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _estimate(threshold: float):
-    """Pairs with both sketches -> those whose union's sketch allows the threshold; sure: the sketches hold whole sets, which reach it."""
-    least = SKETCH * threshold - 4.5 * (SKETCH * threshold * (1 - threshold)) ** 0.5
-    percent = round(100 * threshold)
+    """Pairs with both sketches (the upper halves of the smallest hashes) -> those whose union's sketch allows the threshold."""
+    least = threshold - 4.5 * (threshold * (1 - threshold) / SKETCH) ** 0.5
 
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, near, sure = [], [], []
+            keep, near = [], []
             for i, (x, y) in enumerate(zip(batch["x"].to_pylist(), batch["y"].to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                every, counts = np.unique(np.concatenate([x, y]), return_counts=True)
-                if len(x) < SKETCH and len(y) < SKETCH:
-                    shared = int((counts == 2).sum())
-                    if 100 * shared >= percent * len(every):
-                        keep.append(i), near.append(shared / len(every)), sure.append(True)
-                else:
-                    shared = int((counts[:SKETCH] == 2).sum())
-                    if shared >= least:
-                        keep.append(i), near.append(shared / SKETCH), sure.append(False)
+                every, counts = np.unique(np.concatenate([np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)]), return_counts=True)
+                shared = (counts[:SKETCH] == 2).mean()
+                if shared >= least:
+                    keep.append(i)
+                    near.append(float(shared))
             at = pa.array(keep, pa.int64())
-            yield pa.record_batch({"a": batch["a"].take(at), "b": batch["b"].take(at), "near": pa.array(near, pa.float64()), "sure": pa.array(sure, pa.bool_())})
+            yield pa.record_batch({"a": batch["a"].take(at), "b": batch["b"].take(at), "near": pa.array(near, pa.float64())})
 
     return estimate
 
@@ -290,13 +293,13 @@ def _confirm(threshold: float):
     return confirm
 
 
-def _with_both(pairs: DataFrame, held: DataFrame, small: int) -> DataFrame:
+def _with_both(pairs: DataFrame, held: DataFrame) -> DataFrame:
     """pairs (a table): a, b; held: row, v. Out: a, b, x, y with the values of both; a row that is in very many pairs is spread."""
     out = pairs.repartition(workers(pairs.sparkSession))
     for end, name in (("a", "x"), ("b", "y")):
         weights = pairs.groupBy(end).agg(F.count("*").alias("w"))
         values = stage(weights.join(held.select(F.col("row").alias(end), F.col("v").alias(name)), end), "values")
-        out = join_unique(out, values, [end], "w", small=small).drop("w")
+        out = join_unique(out, values, [end], "w", small=0).drop("w")
     return out
 
 
@@ -306,7 +309,7 @@ class _Linker:
         self.links: list[DataFrame] = []
         self.roots, self.seen = None, 0
         rows = self.docs.withColumn("row", F.monotonically_increasing_id())
-        self.sketched = stage(rows.mapInArrow(_sketcher(n_words, False), "row long, doc_id long, n long, h1 long, h2 long, sketch binary"), "sketches")
+        self.sketched = stage(rows.mapInArrow(_sketcher(n_words, False), "row long, doc_id long, n long, h1 long, h2 long, low binary, sketch binary"), "sketches")
         key = ["n", "h1", "h2"]
         classes = self.sketched.where("n > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("w"))
         self.classes = stage(classes, "classes")
@@ -338,9 +341,8 @@ class _Linker:
         """Adds those of the candidates that are links, as far as components need them."""
         pairs = stage(pairs.distinct(), "pairs")
         held = self.nodes.select("row", F.col("sketch").alias("v"))
-        near = stage(_with_both(pairs, held, 20_000).mapInArrow(_estimate(self.threshold), "a long, b long, near double, sure boolean"), "near")
-        self.links.append(near.where("sure").select("a", "b"))
-        open_ = stage(self.across(near.where("not sure")), "open")
+        near = stage(_with_both(pairs, held).mapInArrow(_estimate(self.threshold), "a long, b long, near double"), "near")
+        open_ = stage(self.across(near), "open") if self.links else near
         if open_.isEmpty():
             return
         sets = self.sets(open_.select(F.explode(F.array("a", "b")).alias("row")).distinct())
@@ -352,7 +354,7 @@ class _Linker:
             self.confirm(rest, sets)
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> None:
-        self.links.append(stage(_with_both(pairs, sets, 1_000).mapInArrow(_confirm(self.threshold), "a long, b long"), "links"))
+        self.links.append(stage(_with_both(pairs, sets).mapInArrow(_confirm(self.threshold), "a long, b long"), "links"))
 
     def sets(self, rows: DataFrame) -> DataFrame:
         """row, v: full sets of these rows, from another pass over their texts alone."""
@@ -413,8 +415,9 @@ class _Linker:
         n = -(-asking.count() // block)
         if not n:
             return
-        members = texts.join(asks.select(F.col("b").alias("comp")).distinct(), "comp", "left_semi")
-        members = stage(self.sets(members.select("row")).join(members, "row").select("row", "comp", "v"), "members")
+        members = texts.join(asks.select(F.col("b").alias("comp")).distinct(), "comp", "left_semi").select("row", "comp")
+        members = members.union(asks.where("b = -1").select(F.col("a").alias("row"), F.col("b").alias("comp")))
+        members = stage(self.sets(members.select("row").distinct()).join(members, "row").select("row", "comp", "v"), "members")
         sets = self.sets(asking)
         for i in range(n):
             mine = sets.where(F.pmod(F.xxhash64("row"), F.lit(n)) == i).toArrow()  # about `block` sets
