@@ -163,7 +163,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     drawn = [(shard, s, first, n) for shard, by in shard_counts(slots, shard_slots, seed) for s, (first, n) in by.items()]
     plan = spark.createDataFrame(drawn, "shard int, source string, first long, n long").repartition(max(1, min(len(drawn), 4096)))
     held = plan.mapInArrow(_mapper(block, numbers, seed), _SLOTS)
-    held = held.groupBy("source", "no_source", "block").agg(F.sum("whole").alias("whole"), F.max("part").alias("part"))
+    # As a table: the planner would take the slots' size for that of the plan they come from, and broadcast them.
+    held = stage(held.groupBy("source", "no_source", "block").agg(F.sum("whole").alias("whole"), F.max("part").alias("part")), "slots")
 
     # Each document's first word in its source: the partition's base and a running sum within the partition.
     places = rows.groupBy("part").applyInArrow(_places, "doc_id long, source string, row_id long, size long, part long, local long")
