@@ -136,6 +136,21 @@ def test_near_dedup_of_a_crowd(spark, monkeypatch):
     assert got == want
 
 
+def test_near_dedup_asks_for_texts_whose_partners_have_asked(monkeypatch):
+    """Text 3 stands before 5, its only partner, which has asked on the list before."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dedup, "CROWD", 2)
+    sig = {0: (1, 2, 3), 1: (1, 2, 3), 5: (1, 2, 3, 4, 5, 6), 3: (4, 5, 6), 2: (4, 7, 8)}
+    rows = [(10, 0, (1, 2, 3)), (10, 1, (1, 2, 3)), (10, 5, (1, 2, 3)), (20, 2, (4, 5, 6)), (20, 3, (4, 5, 6)), (20, 5, (4, 5, 6)), (30, 2, (4, 7, 8))]
+    number = lambda x: pa.array(list(x), pa.int64())
+    packed = lambda x: pa.array([np.array(v, np.uint32).tobytes() for v in x], pa.binary())
+    same = number([6] * len(rows))
+    batch = pa.record_batch({"key": number(k for k, _, _ in rows), "row": number(r for _, r, _ in rows), "n": same, "own": number([0] * len(rows)), "comp": number(r for _, r, _ in rows), "three": packed(t for _, _, t in rows), "sig": packed(sig[r] for _, r, _ in rows)})
+    got = [(r["a"], r["b"]) for out in near_dedup._crossing(0.85)(iter([batch])) for r in out.to_pylist() if r["asks"]]
+    assert {a for a, b in got if b == -1} == {1, 3, 5}
+
+
 def test_bpe_equals_the_library():
     import pyarrow as pa
 

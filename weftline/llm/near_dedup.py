@@ -192,6 +192,7 @@ def _crossing(threshold: float):
         three = np.frombuffer(b"".join(t["three"].to_pylist()), np.uint32).reshape(-1, 3)
         starts = np.flatnonzero(np.diff(key, prepend=key[0] + 1 if len(key) else 0))
         asked: set[tuple[int, int]] = set()
+        done = np.zeros(len(row), bool)  # on the list at hand: asks for -1
         for s, e in zip(starts.tolist(), np.append(starts[1:], len(key)).tolist()):
             names, at = np.unique(comp[s:e], return_inverse=True)
             if len(names) == 1:
@@ -201,9 +202,13 @@ def _crossing(threshold: float):
             every = np.concatenate([s + np.flatnonzero(at == most), rest])
             first = len(every) - len(rest)
             many = len(rest) >= CROWD
+            if many:
+                done[rest] = [(r, -1) in asked for r in row[rest].tolist()]
             for k, u in enumerate(rest.tolist()):
-                low, high = first * ((int(row[u]), int(names[most])) in asked), first + k * (not (many and (int(row[u]), -1) in asked))
-                v = every[low:high]  # the largest component, and those of the others that came before
+                low = first * ((int(row[u]), int(names[most])) in asked)
+                v = every[low : first + k]  # the largest component, and those of the others that came before
+                if many and done[u]:  # those that ask too are met there; who doesn't ask yet still has to
+                    v = v[(comp[v] == names[most]) | ~done[v]]
                 v = v[comp[v] != comp[u]]
                 shared = np.minimum(n[u] - own[u], n[v] - own[v])
                 v = v[shared >= threshold * (n[u] + n[v] - shared) - 1e-9]
@@ -218,6 +223,8 @@ def _crossing(threshold: float):
                     asks += [(int(row[j]), -1) for j in [u, *hit[~near].tolist()]] if many and not near.all() else []
                     asks = [x for x in dict.fromkeys(asks) if x not in asked]
                     asked.update(asks)
+                    if many and not near.all():
+                        done[u] = done[hit[~near]] = True
                     yield out([a for a, _ in asks], [b for _, b in asks], True)
                     hit = hit[~((near & (first >= CROWD)) | (~near & many))]
                     yield out(np.minimum(row[hit], row[u]), np.maximum(row[hit], row[u]), False)
