@@ -357,6 +357,28 @@ def test_audio(spark):
     assert got[0, 100] == 8 and got[100, 0] == -8 and all({a, b} == {0, 100} for a, b in got)
 
 
+def test_every_recording_asks_in_the_query(spark, tmp_path):
+    """Recordings 3 and 7 align with each other, though no id is divisible by 20."""
+    draw = np.random.default_rng(6)
+    one, other = (draw.normal(0, 0.2, 64) for _ in range(2))
+    near = one.copy()
+    near[60:] = -near[60:]
+    rows = [(3, one.tolist()), (7, near.tolist()), (8, other.tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["vec_id"]: (r["n_links"], r["best_match"], r["best_shift"]) for r in audio.op6_audio(spark, str(tmp_path)).collect()}
+    assert got == {3: (1, 7, 0), 7: (1, 3, 0), 8: (0, None, None)}
+
+
+@pytest.mark.parametrize("every,block", [(1, 300), (5, 10**6)])
+def test_audio_blocks(spark, every, block):
+    draw = np.random.default_rng(8)
+    base = audio.tune(draw.normal(0, 0.2, 64))
+    clips = [(i, audio.to_wav(base[audio.HOP * i :] + draw.normal(0, 0.01, len(base) - audio.HOP * i), audio.RATE)) for i in range(12)]
+    _, matches = audio.align(spark.createDataFrame(clips, "id long, audio binary"), every, block)
+    got = {(r["q"], r["r"]): r["shift"] for r in matches.collect()}
+    assert got == {(a, b): b - a for a in range(12) for b in range(12) if a != b and a % every == 0}
+
+
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert json.dumps(sorted(registry.ORACLES)) == json.dumps(["op4_line_dedup", "op5_exact_dedup"])

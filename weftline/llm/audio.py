@@ -16,17 +16,19 @@ import io
 import struct
 import wave
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_unique, stage, table
+from .common import join_unique, ragged, spread, stage, table, workers
 
 FRAME, HOP = 2048, 512
 MOST_ERRORS, SHARED, OVERLAP = 0.2, 3, 8
+#: Frames of asking fingerprints in one block, and votes that are held before they are summed.
+BLOCK, AT_ONCE = 2_000_000, 4_000_000
 _LOW, _HIGH = 65.0, 2100.0
 #: The filters by rule: (shape, first pitch class, height, width in frames).
 FILTERS = tuple((k % 4, (5 * k) % 12 - ((5 * k) % 12 + 2 + k % 3 > 12) * (2 + k % 3), 2 + k % 3, 4 + 3 * (k % 4)) for k in range(16))
@@ -113,47 +115,104 @@ def fingerprints(clips: DataFrame) -> DataFrame:
     return clips.select("id", "audio").mapInArrow(run, "id long, n long, print binary")
 
 
-def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each integer of a fingerprint, at its first frame."""
-    for batch in batches:
-        for rep, blob in zip(batch["rep"].to_pylist(), batch["print"].to_pylist()):
-            code, at = np.unique(np.frombuffer(blob, "<u4"), return_index=True)
-            yield pa.record_batch({"rep": pa.array([rep] * len(code), pa.int64()), "code": pa.array(code.astype(np.int64)), "at": pa.array(at.astype(np.int64))})
+def _bit_errors(x: np.ndarray, y: np.ndarray, offset: int) -> float:
+    """The part of differing bits over the whole overlap at that offset; 1 where the overlap is too short."""
+    a, b = max(0, offset), max(0, -offset)
+    m = min(len(x) - a, len(y) - b)
+    return float(np.bitwise_count(x[a : a + m] ^ y[b : b + m]).sum() / (32 * m)) if m >= min(OVERLAP, len(x), len(y)) and m > 0 else 1.0
+
+
+def _frames(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The integers of fingerprints that lie one after the other, whose they are, and the frame that they are of."""
+    sizes = np.array([len(x) // 4 for x in blobs], np.int64)
+    owner = np.repeat(np.arange(len(blobs)), sizes)
+    return np.frombuffer(b"".join(blobs), "<u4"), owner, ragged(np.zeros(len(blobs), np.int64), sizes)
+
+
+def _index(reps: np.ndarray, blobs: list[bytes]) -> tuple:
+    """The inverted lists of a block of fingerprints."""
+    code, owner, at = _firsts(*_frames(blobs))
+    order = np.argsort(code, kind="stable")
+    return reps, blobs, code[order], owner[order].astype(np.int32), at[order].astype(np.int32)
+
+
+def _firsts(code: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each integer of a fingerprint at its first frame."""
+    _, first = np.unique(owner.astype(np.uint64) << np.uint64(32) | code, return_index=True)
+    return code[first], owner[first], at[first]
+
+
+def _votes(index: tuple, blob: bytes, rep: int, asks: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(q's place in the block, offset, shared integers at it), for the pairs of one fingerprint that it has to
+    look at: where it asks itself, those with smaller ids alone, as its own block meets the others."""
+    reps, _, codes, owner, at = index
+    code, _, y = _firsts(*_frames([blob]))
+    low, high = np.searchsorted(codes, code), np.searchsorted(codes, code, "right")
+    ends = np.cumsum(high - low)
+    span = 1 << 32
+    keys, sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    i = 0
+    while i < len(code):  # some integers at a time, so that hot ones need no more memory
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + AT_ONCE, "right")))
+        x = ragged(low[i:j], high[i:j] - low[i:j])
+        shift = at[x].astype(np.int64) - np.repeat(y[i:j], high[i:j] - low[i:j])
+        q = owner[x].astype(np.int64)
+        use = reps[q] < rep if asks else reps[q] != rep
+        key, n = np.unique(q[use] * span + (shift[use] + (span >> 1)), return_counts=True)
+        keys, back = np.unique(np.concatenate([keys, key]), return_inverse=True)
+        sums = np.bincount(back, np.concatenate([sums, n]), minlength=len(keys)).astype(np.int64)
+        i = j
+    good = sums >= SHARED
+    return keys[good] // span, keys[good] % span - (span >> 1), sums[good]
+
+
+def _aligner(held):
+    """Fingerprints -> their matches with a block of asking ones, both ways where both ask. A fingerprint is whole
+    in its row, so its votes are summed where it is."""
 
-
-def _bit_errors(rows: pd.DataFrame) -> list[float]:
-    out = []
-    for offset, x, y in zip(rows["shift"], rows["x"], rows["y"]):
-        x, y = np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")
-        a, b = max(0, offset), max(0, -offset)
-        m = min(len(x) - a, len(y) - b)
-        out.append(float(np.bitwise_count(x[a : a + m] ^ y[b : b + m]).sum() / (32 * m)) if m >= min(OVERLAP, len(x), len(y)) and m > 0 else 1.0)
-    return out
-
-
-def _errors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        yield rows[["q", "r", "shift"]].assign(error=_bit_errors(rows))
-
-
-def align(clips: DataFrame, every: int = 20) -> tuple[DataFrame, DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = held.value
+        reps, blobs = index[:2]
+        for batch in batches:
+            out: list[tuple[int, int, int, float]] = []
+            for rep, blob, asks in zip(batch["rep"].to_pylist(), batch["print"].to_pylist(), batch["asks"].to_pylist()):
+                q, shift, n = _votes(index, blob, rep, asks)
+                order = np.lexsort((-shift, np.abs(shift), -n, q))  # of each pair the offset with most votes first
+                q, shift = q[order], shift[order]
+                first = np.flatnonzero(np.diff(q, prepend=-1))
+                y = np.frombuffer(blob, "<u4")
+                for k, d in zip(q[first].tolist(), shift[first].tolist()):
+                    error = _bit_errors(np.frombuffer(blobs[k], "<u4"), y, d)
+                    if error <= MOST_ERRORS:
+                        out.append((int(reps[k]), rep, d, error))
+                        if asks:
+                            out.append((rep, int(reps[k]), -d, error))
+            columns = list(zip(*out)) if out else [[]] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["q", "r", "shift", "error"])
+
+    return run
+
+
+def align(clips: DataFrame, every: int = 20, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """clips: id, audio. Out: members (id, n, rep: the smallest id with that fingerprint), and matches
-    between classes (q, r, shift, error), where q has a member whose id `every` divides."""
+    between classes (q, r, shift, error), where q has a member whose id `every` divides.
+
+    The asking classes go by in blocks of about `block` frames, whose inverted lists are broadcast (their size is
+    bounded); all classes meet each block where they are, so that no pair is shuffled."""
     prints = stage(fingerprints(clips), "prints")
     key = F.sha2("print", 256)
     classes = prints.where("n > 0").groupBy(key.alias("key")).agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("print").alias("print"), F.max(F.coalesce(F.col("id") % every == 0, F.lit(False))).alias("asks"))
     classes = stage(classes.where("rep is not null"), "audio-classes")
-    codes = stage(classes.mapInArrow(_codes, "rep long, code long, at long"), "codes")
-    asked = codes.join(classes.where("asks").select("rep"), "rep", "left_semi").select(F.col("rep").alias("q"), "code", F.col("at").alias("x"))
-    # Offset histograms: a row for each pair and offset, summed before they are compared.
-    pairs = asked.join(codes.select(F.col("rep").alias("r"), "code", F.col("at").alias("y")), "code").where("q <> r")
-    votes = pairs.groupBy("q", "r", (F.col("x") - F.col("y")).alias("shift")).agg(F.count("*").alias("n")).where(F.col("n") >= SHARED)
-    best = stage(votes.groupBy("q", "r").agg(F.max(F.struct("n", -F.abs("shift"), "shift")).alias("b")).select("q", "r", "b.shift"), "alignments")
-    for end, name in (("q", "x"), ("r", "y")):
-        best = best.join(classes.select(F.col("rep").alias(end), F.col("print").alias(name)), end)
-    matches = best.mapInPandas(_errors, "q long, r long, shift long, error double").where(F.col("error") <= MOST_ERRORS)
+    spark, asking = clips.sparkSession, classes.where("asks")
+    n = spread(asking.agg(F.sum(F.length("print") / 4).alias("n")).first()["n"] or 0, block)
+    dealt = classes.select("rep", "print", "asks").repartition(workers(spark))
+    found = []
+    for i in range(n):
+        mine = asking.select("rep", "print").where(F.pmod(F.xxhash64("rep"), F.lit(n)) == i).orderBy("rep").toArrow()
+        held = spark.sparkContext.broadcast(_index(mine["rep"].to_numpy(), mine["print"].to_pylist()))
+        found.append(stage(dealt.mapInArrow(_aligner(held), "q long, r long, shift long, error double"), "matches"))
     members = join_unique(prints.select("id", "n", key.alias("key")), classes.select("key", "rep", "w"), ["key"], "w").select("id", "n", "rep")
-    return members, stage(matches, "matches")
+    return members, reduce(DataFrame.union, found)
 
 
 RATE, NOTES, NOTE = 8000, 64, 1024
@@ -178,7 +237,7 @@ def recordings(vectors: DataFrame) -> DataFrame:
 
 
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, matches = align(recordings(table(spark, sf_dir, "embeddings")))
+    members, matches = align(recordings(table(spark, sf_dir, "embeddings")), every=1)
     best = matches.groupBy("q").agg(F.count("*").alias("n_links"), F.min(F.struct("error", "r", "shift")).alias("b"), F.lit(1).alias("one"))
     best = best.select(F.col("q").alias("rep"), "n_links", F.col("b.r").alias("best_match"), F.col("b.shift").alias("best_shift"), F.col("b.error").alias("best_error"))
     sizes = members.groupBy("rep").agg(F.count("*").alias("w"))
