@@ -379,6 +379,19 @@ def test_audio_blocks(spark, every, block):
     assert got == {(a, b): b - a for a in range(12) for b in range(12) if a != b and a % every == 0}
 
 
+def test_audio_with_a_repeated_passage(spark):
+    """Of A B A C the excerpt A C is found at the second A, as B isn't C."""
+    draw = np.random.default_rng(12)
+    a, b, c = (draw.normal(0, 0.2, n) for n in (40, 12, 12))
+    play = lambda *v: audio.tune(np.concatenate(v))
+    whole, part = play(a, b), play(a, c)
+    both = np.concatenate([whole, part])
+    clips = [(1, audio.to_wav(both, audio.RATE)), (2, audio.to_wav(part, audio.RATE))]
+    _, matches = audio.align(spark.createDataFrame(clips, "id long, audio binary"), every=1)
+    got = {(r["q"], r["r"]): r["shift"] for r in matches.collect()}
+    assert got == {(1, 2): len(whole) // audio.HOP, (2, 1): -(len(whole) // audio.HOP)}
+
+
 def test_every_query_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
     assert json.dumps(sorted(registry.ORACLES)) == json.dumps(["op4_line_dedup", "op5_exact_dedup"])

@@ -3,8 +3,9 @@
 A recording's spectrum is folded into 12 pitch classes for each frame; the frames are smoothed and
 normalised. Filters, each the log ratio of two areas of that image (sums come from its integral
 image), are quantised to two bits in Gray code; 16 filters make an integer for each frame.
-Equal fingerprints are one class. Classes that share integers are aligned by the offset that most shared
-integers agree on, and confirmed by the part of differing bits over the whole overlap at that offset.
+Equal fingerprints are one class. Classes that share integers are aligned by the offsets that their shared integers, at each of their frames,
+vote for: those with votes enough are tried from the most voted on, and the first that the part of differing
+bits over the whole overlap confirms is taken.
 
 Defined cases: audio that is null, isn't 16-bit PCM WAV or is too short has no fingerprint and aligns with
 nothing; rows that repeat an id are members of a class each; an empty table gives an empty result.
@@ -131,22 +132,16 @@ def _frames(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _index(reps: np.ndarray, blobs: list[bytes]) -> tuple:
     """The inverted lists of a block of fingerprints."""
-    code, owner, at = _firsts(*_frames(blobs))
+    code, owner, at = _frames(blobs)
     order = np.argsort(code, kind="stable")
     return reps, blobs, code[order], owner[order].astype(np.int32), at[order].astype(np.int32)
 
 
-def _firsts(code: np.ndarray, owner: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each integer of a fingerprint at its first frame."""
-    _, first = np.unique(owner.astype(np.uint64) << np.uint64(32) | code, return_index=True)
-    return code[first], owner[first], at[first]
-
-
 def _votes(index: tuple, blob: bytes, rep: int, asks: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(q's place in the block, offset, shared integers at it), for the pairs of one fingerprint that it has to
+    """(q's place in the block, offset, shared integers at it: every frame votes), for the pairs of one fingerprint that it has to
     look at: where it asks itself, those with smaller ids alone, as its own block meets the others."""
     reps, _, codes, owner, at = index
-    code, _, y = _firsts(*_frames([blob]))
+    code, _, y = _frames([blob])
     low, high = np.searchsorted(codes, code), np.searchsorted(codes, code, "right")
     ends = np.cumsum(high - low)
     span = 1 << 32
@@ -178,12 +173,13 @@ def _aligner(held):
             for rep, blob, asks in zip(batch["rep"].to_pylist(), batch["print"].to_pylist(), batch["asks"].to_pylist()):
                 q, shift, n = _votes(index, blob, rep, asks)
                 order = np.lexsort((-shift, np.abs(shift), -n, q))  # of each pair the offset with most votes first
-                q, shift = q[order], shift[order]
-                first = np.flatnonzero(np.diff(q, prepend=-1))
-                y = np.frombuffer(blob, "<u4")
-                for k, d in zip(q[first].tolist(), shift[first].tolist()):
+                y, last = np.frombuffer(blob, "<u4"), -1
+                for k, d in zip(q[order].tolist(), shift[order].tolist()):
+                    if k == last:  # confirmed at an offset with more votes
+                        continue
                     error = _bit_errors(np.frombuffer(blobs[k], "<u4"), y, d)
                     if error <= MOST_ERRORS:
+                        last = k
                         out.append((int(reps[k]), rep, d, error))
                         if asks:
                             out.append((rep, int(reps[k]), -d, error))
