@@ -38,6 +38,12 @@ FORMATS = (
 )
 _RUN = re.compile(rb"[A-Za-z0-9+/_=-]{12,}")
 _TELLING = re.compile(r"(?:pass(?:word|wd)?|secret|token|api[_-]?key|apikey|auth|credential|private|access[_-]?key|bearer|pwd)", re.I)
+#: A telling name and what is assigned to it: between quotes, or up to white space. Looked ahead to, as a value may hold names too.
+_ASSIGNED = re.compile(
+    rb"(?:pass(?:word|wd)?|secret|token|api[_-]?key|auth|credential|private|access[_-]?key|bearer|pwd)[\w-]*+[\"']?[ \t]*[:=]+>?[ \t]*"
+    rb"(?=\"((?:[^\"\\\r\n]|\\.)+)\"|'((?:[^'\\\r\n]|\\.)+)'|[\"']?([^\s\"'][^\s]*))",
+    re.I,
+)
 _HARMLESS = re.compile(r"(?:example|sample|dummy|placeholder|test|fake|commit|sha1|sha256|md5|hash|uuid|checksum|revision|color|image|version|doi|isbn|phone|card|http)", re.I)
 _PATHY = re.compile(r"(?:test|example|doc|sample|fixture|mock|vendor|spec)", re.I)
 _VOWEL = re.compile(r"[aeiou]", re.I)
@@ -119,14 +125,22 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
         a = draw.choice(alphabets)
         filler = " ".join(draw.choice(some) for _ in range(4))
         known = False
-        if good:
+        if good and draw.random() < 0.3:  # passwords and phrases of any length
+            value = "".join(draw.choice(string.ascii_letters + string.digits + "!&@$.#%^*?") for _ in range(draw.randint(6, 16)))
+            if draw.random() < 0.4:
+                value = "".join(draw.choice("bcdfghklmnprstvw") + draw.choice("aeiou") + draw.choice("lnrst") for _ in range(2)) + str(draw.randint(0, 9999)) + text(draw.randint(0, 3))
+            elif draw.random() < 0.4:
+                value = "-".join("".join(draw.choice("bcdfghklmnprstvw") + draw.choice("aeiou") + draw.choice("lnrst") for _ in range(2)) for _ in range(draw.randint(3, 5)))
+            before = f"{filler} {draw.choice(('secret', 'password', 'pwd', 'passwd', 'credential'))}{draw.choice((' = ', '=', ': ', ':'))}{draw.choice(('', chr(34), chr(39)))}"
+            path = draw.choice(("src/app.py", "config/prod.yml", "src3", ".env", "web", "src11"))
+        elif good:
             value = text(draw.choice((16, 20, 24, 32, 32, 40, 40, 48, 64)))
             known = draw.random() < 0.2
             name = draw.choice(("token", "api_key", "secret", "password", "auth_token", "access_key", "apikey", "pwd", "credential", "private_key"))
             before = f"{filler} {name}{draw.choice((' = ', '=', ': ', ':'))}{draw.choice(('', chr(34), chr(39)))}" if draw.random() < 0.9 or not known else f"{filler} "
             path = draw.choice(("src/app.py", "config/prod.yml", "src3", ".env", "web", "src11"))
         else:
-            form = draw.randrange(6)
+            form = draw.randrange(7)
             if form == 0:
                 a = string.hexdigits[:16]
                 value, before = text(draw.choice((32, 40, 64))), f"{filler} {draw.choice(('commit ', 'sha256: ', 'md5=', 'checksum ', 'revision '))}"
@@ -138,6 +152,9 @@ def labelled_findings(n: int = 3000, seed: int = 5) -> list[tuple[str, str, str,
                 value, before = "".join(draw.choice(some).capitalize() for _ in range(4)) + str(draw.randint(1, 9)), f"{filler} {draw.choice(('token = ', 'class ', ''))}"
             elif form == 4:
                 value, before = str(draw.randint(10**14, 10**16)) + draw.choice(("", "e")), f"{filler} {draw.choice(('card ', 'phone ', 'id ', ''))}"
+            elif form == 5:  # what is no secret after a telling name
+                value = draw.choice(("true", "false", "null", "None", "required", "string", "str", "******", "${PASSWORD}", "<password>", "{{secret}}", "getpass()", "input(", draw.choice(some), draw.choice(some) + "_" + draw.choice(some), draw.choice(some) + "." + draw.choice(some)))
+                before = f"{filler} {draw.choice(('token = ', 'password: ', 'auth=', 'secret: ', 'private: '))}{draw.choice(('', chr(34)))}"
             else:
                 value, before = draw.choice(("your-api-key-here1", "insert_token_here_1", "example-secret-123", "changeme-password1", "test-token-000000")), f"{filler} {draw.choice(('token = ', 'api_key: ', 'secret='))}"
             path = draw.choice(("tests/fixtures/a.py", "docs/readme.md", "src/app.py", "examples/run.sh", "src2"))
@@ -208,7 +225,15 @@ _LETTER[65:91] = _LETTER[97:123] = True
 
 
 def candidates(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int, int, str]]:
-    """(text, start, end, kind) in bytes. Only words of LEAST bytes with letters and digits are searched."""
+    """(text, start, end, kind) in bytes. What is assigned to a telling name is a candidate whatever it is; else
+    only words of LEAST bytes with letters and digits are searched."""
+    assigned: dict[int, dict[int, int]] = {}
+    for t, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        for m in _ASSIGNED.finditer(data[a:b].tobytes()):
+            k = m.lastindex
+            end = m.end(k) if k < 3 else m.start(k) + len(m[k].rstrip(b",;\"'") or m[k])
+            assigned.setdefault(t, {})[a + m.start(k)] = a + end
+    known: set[tuple[int, int]] = set()
     _, starts, ends, first = words(data, offsets)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
     letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
@@ -221,6 +246,7 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int
         for kind, pattern in FORMATS:
             for m in pattern.finditer(word):
                 taken.append(m.span())
+                known.add((a + m.start(), a + m.end()))
                 yield t, a + m.start(), a + m.end(), kind
         for m in _RUN.finditer(word):
             s, e = m.span()
@@ -229,7 +255,10 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int
                 s += run[:-2].rindex(b"=") + 1
             run = word[s:e].strip(b"=-_/")
             if len(run) >= LEAST and not any(x < e and s < y for x, y in taken) and any(48 <= c < 58 for c in run) and any(c >= 65 for c in run):
-                yield t, a + s, a + e, "generic"
+                if assigned.get(t, {}).get(a + s, 0) < a + e:  # else it begins a value that is a candidate as a whole
+                    yield t, a + s, a + e, "generic"
+    for t, spans in assigned.items():
+        yield from ((t, a, b, "assigned") for a, b in spans.items() if (a, b) not in known)
 
 
 def scan(docs: DataFrame, forest: Forest | None = None, limit: float = LIMIT) -> DataFrame:
@@ -250,7 +279,7 @@ def scan(docs: DataFrame, forest: Forest | None = None, limit: float = LIMIT) ->
                     before, after = decode(max(at[t], a - 80), a), decode(b, min(at[t + 1], b + 40))
                     start = int(((part[at[t] : a] & 0xC0) != 0x80).sum())
                     rows.append((ids[i + t], start, len(value), kind, hashlib.sha256(value.encode()).hexdigest()))
-                    x.append(features(value, before, after, paths[i + t] or "", kind != "generic"))
+                    x.append(features(value, before, after, paths[i + t] or "", kind not in ("generic", "assigned")))
             chance = held.value.chance(np.array(x)) if x else np.zeros(0)
             columns = list(zip(*rows)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
