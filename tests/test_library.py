@@ -119,6 +119,14 @@ def test_markup():
     assert markup.tag_offsets("a<b>c</b>") == ("ac", [0, 4])
 
 
+def test_templates_of_many_parameters():
+    """The depth is bounded, the number isn't."""
+    body = "".join("{{{%d|d}}}," % i for i in range(1, 41))
+    t = markup.Templates({"box": body, "deep": "{{{a|" * 20 + "x" + "}}}" * 20})
+    assert t.expand("{{box|" + "|".join(map(str, range(1, 40))) + "}}") == "".join(f"{i}," for i in range(1, 40)) + "d,"
+    assert t.expand("{{deep}}{{deep|a=b}}") == "xb"
+
+
 def test_vector_files(spark, tmp_path):
     draw = np.random.default_rng(2)
     rows = [(f"w{i}", [draw.random(4).astype("f4"), draw.random(4).astype("f4")]) for i in range(5)]

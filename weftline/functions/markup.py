@@ -157,11 +157,12 @@ class Templates:
         return "".join(out) + text[at:]
 
     def _parameters(self, text: str, values: dict[str, str], depth: int) -> str:
-        for _ in range(DEEPEST):
-            m = re.search(r"\{\{\{([^{}|]*)(?:\|([^{}]*))?\}\}\}", text)
-            if not m:
-                break
-            text = text[: m.start()] + values.get(m[1].strip(), m[2] or "") + text[m.end() :]
+        """A turn replaces all innermost parameters, so that turns are levels; what is nested deeper goes."""
+        innermost = re.compile(r"\{\{\{([^{}|]*)(?:\|([^{}]*))?\}\}\}")
+        turn = 0
+        while innermost.search(text):
+            turn += 1
+            text = innermost.sub(lambda m: values.get(m[1].strip(), m[2] or "") if turn <= DEEPEST else "", text)
         return text
 
     @staticmethod
