@@ -4,10 +4,12 @@ and vectorised word hashing over Arrow string columns."""
 from __future__ import annotations
 
 import atexit
+import ctypes
 import math
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +20,16 @@ from pyspark.sql import functions as F
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
 BLANK_CLASS = "[\\x20\\x09-\\x0D]"
 
-_staged: list[tuple[SparkSession, str]] = []
+_staged: list[tuple[SparkSession, str, str | None]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one where none is set, as in tests."""
+    """The folder that driver and executors share. Where none is set, a temporary one if all run in one process (tests);
+    on a cluster that is an error, as executors would write to folders of their own."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="weftline-")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -32,21 +37,42 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and
-    a lost executor costs no recomputation of what came before. Removed when Python ends, or
-    by clear()."""
+    a lost executor costs no recomputation of what came before. Removed by release() or clear(), at the latest when Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _staged.append((spark, path, None))
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def bucketed(df: DataFrame, key: str, name: str, dealt: bool = False) -> DataFrame:
+    """Like stage(), dealt out by key once (unless df is that already): later joins by that key shuffle the other side alone."""
+    spark, own = df.sparkSession, uuid.uuid4().hex
+    path, n = f"{shared_dir(spark)}/weftline-{name}-{own}", workers(df.sparkSession)
+    out = (df if dealt else df.repartition(n, key)).write.format("parquet").option("compression", "zstd").option("path", path)
+    out.bucketBy(n, key).sortBy(key).saveAsTable(f"weftline_{own}")
+    _staged.append((spark, path, f"weftline_{own}"))
+    out = spark.table(f"weftline_{own}")
+    out.staged_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more."""
+    clear({t.staged_at for t in tables})
 
 
 @atexit.register
-def clear() -> None:
-    """Removes all staged tables of this process."""
-    while _staged:
-        spark, path = _staged.pop()
+def clear(paths: set[str] | None = None, but: set[str] = frozenset()) -> None:
+    """Removes staged tables of this process, all or those in paths."""
+    for entry in [x for x in _staged if (paths is None or x[1] in paths) and x[1] not in but]:
+        _staged.remove(entry)
+        spark, path, name = entry
         try:
+            if name:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
@@ -54,6 +80,23 @@ def clear() -> None:
             continue
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for mapInArrow that gives freed memory back to the system when its task ends: Python workers
+    live on, and what a stage needed at its peak would stay theirs through all later ones."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -79,7 +122,7 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     hot = right.where(F.col(weight) > least).select(*keys, F.struct(*values).alias("_hot"))
     rest = right.where(F.col(weight) <= least).select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.struct(*values).alias("_rest"), F.lit(0).alias("_kx")
-    )
+    ).hint("merge")
     out = left.join(F.broadcast(hot), keys, "left")
     spread = F.when(F.col("_hot").isNotNull(), F.lit(1) + F.floor(F.rand(7) * 1_000_000).cast("int")).otherwise(0)
     out = out.withColumn("_x", spread)
@@ -88,10 +131,6 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     return out.select(*left.columns, *[F.col(f"_got.{c}").alias(c) for c in values])
 
 
-def lower_ascii(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 # ---------------------------------------------------------------- word hashing
 
 _BLANK = np.zeros(256, bool)
@@ -131,7 +170,7 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
@@ -139,6 +178,16 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def binaries(column: pa.Array, dtype) -> list[np.ndarray]:
+    """The values of a binary column without nulls as arrays that share its memory."""
+    if not len(column):
+        return []
+    data, offsets = strings(column.cast(pa.large_binary()))
+    whole = data.view(dtype) if len(data) % np.dtype(dtype).itemsize == 0 else np.frombuffer(data.tobytes(), dtype)
+    cuts = (offsets // np.dtype(dtype).itemsize).tolist()
+    return [whole[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
 def blocks(offsets: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Ranges of rows with about `most` bytes each; a longer text is a range of its own."""
     i, n = 0, len(offsets) - 1
@@ -189,14 +238,6 @@ def spread(total: int, each: int) -> int:
     return max(1, math.ceil(total / each))
 
 
-def bisected(table_: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where keys are in a sorted table, and whether they are there."""
-    if not len(table_):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(table_, keys), len(table_) - 1)
-    return at, table_[at] == keys
-
-
 class Slots:
     """Open-addressing table from non-zero 64-bit hashes to the numbers 0, 1, 2... in the order of insertion."""
 

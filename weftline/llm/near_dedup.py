@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, join_unique, mix, ragged, stage, strings, table, words, workers
+from .common import binaries, blocks, bucketed, join_unique, mix, ragged, release, stage, strings, table, tidy, words, workers
 from .components import components
 
 SKETCH, LISTED, SHORT, LEADERS, NEIGHBOURS, OVERLAP, CROWD = 128, 12, 32, 1, 1, 3, 128
+#: A list of more than twice SHARE is read in random shares of about SHARE texts, so that no text meets more than so many on it.
+SHARE = 500
 BROADCAST_IDS = 1_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -62,32 +64,43 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(one.view(np.int64)), int(two.view(np.int64))
 
 
-def _sketcher(n_words: int, whole: bool):
+def _sketch(n_words: int):
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = shingle_sets(*strings(batch["text"]), n_words)
             digests = np.array([_digest(s) for s in sets], np.int64).reshape(-1, 2)
-            columns = {} if whole else {"row": batch["row"], "doc_id": batch["doc_id"]}
+            columns = {"row": batch["row"], "doc_id": batch["doc_id"]}
             columns |= {"n": pa.array([len(s) for s in sets], pa.int64()), "h1": pa.array(digests[:, 0].copy()), "h2": pa.array(digests[:, 1].copy())}
-            if whole:
-                columns["shingles"] = pa.array([x.tobytes() for x in sets], pa.binary())
-            else:
-                columns["low"] = pa.array([x[:LISTED].tobytes() for x in sets], pa.binary())
-                columns["sketch"] = pa.array([(x[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for x in sets], pa.binary())
+            columns["low"] = pa.array([x[:LISTED].tobytes() for x in sets], pa.binary())
+            columns["sketch"] = pa.array([(x[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for x in sets], pa.binary())
             yield pa.record_batch(columns)
 
-    return sketch
+    return tidy(sketch)
+
+
+def _full(n_words: int):
+    """Texts beside the row and digest that are asked for -> the full set where the digest is the text's."""
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = strings(batch["text"])
+            asked = np.stack([batch[c].to_numpy() for c in ("n", "h1", "h2")], axis=1)
+            row = batch["row"].to_numpy()
+            for i, j in blocks(offsets):  # sets are larger than texts
+                sets = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n_words)
+                same = [k for k, s in enumerate(sets) if len(s) and (len(s), *_digest(s)) == tuple(asked[i + k].tolist())]
+                yield pa.record_batch({"row": pa.array(row[i:j][same]), "v": pa.array([sets[k].tobytes() for k in same], pa.binary())})
+
+    return tidy(full)
 
 
 def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each of a sketch's first values."""
     for batch in batches:
-        sketches = [np.frombuffer(x, np.uint64) for x in batch["low"].to_pylist()]
-        sizes = np.fromiter(map(len, sketches), np.int64, len(sketches))
-        each = pa.array(np.repeat(np.arange(len(sketches)), sizes))
-        short = [(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sketches]
-        keys = np.concatenate(sketches) if sketches else np.zeros(0, np.uint64)
-        yield pa.record_batch({"key": pa.array(keys.view(np.int64)), "row": batch["row"].take(each), "n": batch["n"].take(each), "sig": pa.array(short, pa.binary()).take(each)})
+        sketches = binaries(batch["low"], np.int64)
+        each = pa.array(np.repeat(np.arange(len(sketches)), [len(x) for x in sketches]).astype(np.int64))
+        keys = np.concatenate(sketches) if sketches else np.zeros(0, np.int64)
+        yield pa.record_batch({"key": pa.array(keys), "row": batch["row"].take(each), "n": batch["n"].take(each)})
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -121,7 +134,7 @@ def _streamed(of: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
         if held:
             yield from of(pa.Table.from_batches(held))
 
-    return run
+    return tidy(run)
 
 
 def _out(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -246,20 +259,19 @@ def _matcher(held, threshold: float):
         order = np.argsort(hashes, kind="stable")
         hashes, owner = hashes[order], owner[order]
         for batch in batches:
-            for row, comp, blob in zip(batch["row"].to_pylist(), batch["comp"].to_pylist(), batch["v"].to_pylist()):
-                own = np.frombuffer(blob, np.uint64)
+            for row, comp, own in zip(batch["row"].to_pylist(), batch["comp"].to_pylist(), binaries(batch["v"], np.uint64)):
                 low, high = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
                 shared = np.bincount(owner[ragged(low, high - low)], minlength=len(sets))
                 good = np.flatnonzero((100 * shared >= percent * (sizes + len(own) - shared)) & asks[comp] & (rows != row))
                 if len(good):
                     yield _out(rows[good], np.full(len(good), row))
 
-    return match
+    return tidy(match)
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [np.frombuffer(x, np.int64) for x in batch["v"].to_pylist()]
+        sets = binaries(batch["v"], np.int64)
         each = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]).astype(np.int64))
         yield pa.record_batch({"row": batch["row"].take(each), "h": pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))})
 
@@ -271,8 +283,8 @@ def _estimate(threshold: float):
     def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, near = [], []
-            for i, (x, y) in enumerate(zip(batch["x"].to_pylist(), batch["y"].to_pylist())):
-                every, counts = np.unique(np.concatenate([np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)]), return_counts=True)
+            for i, (x, y) in enumerate(zip(binaries(batch["x"], np.uint32), binaries(batch["y"], np.uint32))):
+                every, counts = np.unique(np.concatenate([x, y]), return_counts=True)
                 shared = (counts[:SKETCH] == 2).mean()
                 if shared >= least:
                     keep.append(i)
@@ -280,7 +292,7 @@ def _estimate(threshold: float):
             at = pa.array(keep, pa.int64())
             yield pa.record_batch({"a": batch["a"].take(at), "b": batch["b"].take(at), "near": pa.array(near, pa.float64())})
 
-    return estimate
+    return tidy(estimate)
 
 
 def _confirm(threshold: float):
@@ -289,25 +301,22 @@ def _confirm(threshold: float):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(batch["x"].to_pylist(), batch["y"].to_pylist())):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i, (x, y) in enumerate(zip(binaries(batch["x"], np.uint64), binaries(batch["y"], np.uint64))):
                 shared = len(np.intersect1d(x, y, assume_unique=True))
                 if 100 * shared >= percent * (len(x) + len(y) - shared):
                     keep.append(i)
             at = pa.array(keep, pa.int64())
             yield pa.record_batch({"a": batch["a"].take(at), "b": batch["b"].take(at)})
 
-    return confirm
+    return tidy(confirm)
 
 
 def _with_both(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """pairs (a table): a, b; held: row, v. Out: a, b, x, y with the values of both; a row that is in very many pairs is spread."""
-    out = pairs.repartition(workers(pairs.sparkSession))
-    for end, name in (("a", "x"), ("b", "y")):
-        weights = pairs.groupBy(end).agg(F.count("*").alias("w"))
-        values = stage(weights.join(held.select(F.col("row").alias(end), F.col("v").alias(name)), end), "values")
-        out = join_unique(out, values, [end], "w", small=0).drop("w")
-    return out
+    """pairs: a, b; held (dealt out by row): row, v. Out: a, b, x, y with the values of both. Only pairs are shuffled, for the
+    second end with the first one's value. A row is in few pairs, as lists are read in shares of bounded size."""
+    for end, name in (("b", "y"), ("a", "x")):
+        pairs = pairs.join(held.select(F.col("row").alias(end), F.col("v").alias(name)).hint("merge"), end)
+    return pairs.select("a", "b", "x", "y")
 
 
 class _Linker:
@@ -316,12 +325,13 @@ class _Linker:
         self.links: list[DataFrame] = []
         self.roots, self.seen = None, 0
         rows = self.docs.withColumn("row", F.monotonically_increasing_id())
-        self.sketched = stage(rows.mapInArrow(_sketcher(n_words, False), "row long, doc_id long, n long, h1 long, h2 long, low binary, sketch binary"), "sketches")
+        self.sketched = stage(rows.mapInArrow(_sketch(n_words), "row long, doc_id long, n long, h1 long, h2 long, low binary, sketch binary"), "sketches")
         key = ["n", "h1", "h2"]
         classes = self.sketched.where("n > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("w"))
         self.classes = stage(classes, "classes")
-        sketches = self.sketched.join(self.classes.select(F.col("rep").alias("row")), "row", "left_semi")
-        self.nodes = stage(sketches, "nodes")
+        dealt = self.sketched.repartition(workers(docs.sparkSession), "row")
+        dealt = dealt.join(self.classes.select(F.col("rep").alias("row")).hint("merge"), "row", "left_semi")
+        self.nodes = bucketed(dealt, "row", "nodes", dealt=True)
 
     def joined(self) -> DataFrame:
         """node, root by the links so far."""
@@ -349,6 +359,7 @@ class _Linker:
         pairs = stage(pairs.distinct(), "pairs")
         held = self.nodes.select("row", F.col("sketch").alias("v"))
         near = stage(_with_both(pairs, held).mapInArrow(_estimate(self.threshold), "a long, b long, near double"), "near")
+        release(pairs)
         open_ = stage(self.across(near), "open") if self.links else near
         if open_.isEmpty():
             return
@@ -359,32 +370,38 @@ class _Linker:
         rest = stage(self.across(open_.select("a", "b").join(first, ["a", "b"], "left_anti")), "rest")
         if not rest.isEmpty():
             self.confirm(rest, sets)
+        release(sets, first, rest)
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> None:
         self.links.append(stage(_with_both(pairs, sets).mapInArrow(_confirm(self.threshold), "a long, b long"), "links"))
 
     def sets(self, rows: DataFrame) -> DataFrame:
-        """row, v: full sets of these rows, from another pass over their texts alone."""
-        wanted = stage(self.nodes.join(rows, "row", "left_semi").select("row", "doc_id", "n", "h1", "h2"), "wanted")
-        ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
+        """row, v: full sets of these rows, dealt out by row, from another pass over their texts alone."""
+        wanted = stage(self.nodes.select("row", "doc_id", "n", "h1", "h2").join(rows.hint("merge"), "row", "left_semi"), "wanted")
+        asked = wanted.withColumnRenamed("doc_id", "_id")
         if wanted.count() <= BROADCAST_IDS:
-            ids = F.broadcast(ids)
-        texts = self.docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-        found = texts.select("text").mapInArrow(_sketcher(self.n_words, True), "n long, h1 long, h2 long, shingles binary")
-        return stage(found.join(wanted, ["n", "h1", "h2"]).select("row", F.col("shingles").alias("v")).dropDuplicates(["row"]), "sets")
+            asked = F.broadcast(asked)
+        texts = self.docs.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")))
+        out = bucketed(texts.select("text", "row", "n", "h1", "h2").mapInArrow(_full(self.n_words), "row long, v binary"), "row", "sets")
+        release(wanted)
+        return out
 
     def paired(self, entries: DataFrame) -> DataFrame:
-        """entries: key, row, n, sig, w (the list's length)."""
-        # A very long list is read in shares, each with leaders of its own.
-        share = F.when(F.col("w") > 5000, F.xxhash64(F.col("key"), F.pmod(F.xxhash64("row"), F.ceil(F.col("w") / 2500)))).otherwise(F.col("key"))
-        entries = entries.select(share.alias("key"), "row", "n", "sig").repartition(workers(entries.sparkSession), "key").sortWithinPartitions("key", "sig")
+        """entries: key, row, n, w (the list's length)."""
+        # A very long list is read in shares, each with leaders of its own; other lists deal the same texts out differently.
+        share = F.when(F.col("w") > 2 * SHARE, F.xxhash64(F.col("key"), F.pmod(F.xxhash64("row", "key"), F.ceil(F.col("w") / SHARE)))).otherwise(F.col("key"))
+        signed = self.nodes.select("row", F.expr(f"substring(sketch, 1, {4 * LISTED})").alias("sig")).hint("merge")
+        entries = entries.join(signed, "row").select(share.alias("key"), "row", "n", "sig")
+        entries = entries.repartition(workers(entries.sparkSession), "key").sortWithinPartitions("key", "sig")
         return entries.mapInArrow(_pairing(self.threshold), "a long, b long")
 
     def listed(self, entries: DataFrame, least: int) -> DataFrame:
         """Those of entries (key, row, comp and others) whose list has `least` rows at least and joins several components, with its length."""
         lists = entries.groupBy("key").agg(F.count("*").alias("w"), F.min("comp").alias("low"), F.max("comp").alias("high"))
         lists = stage(lists.where((F.col("w") >= least) & (F.col("low") != F.col("high"))).select("key", F.col("w"), F.lit(1).alias("found")), "lists")
-        return stage(join_unique(entries, lists, ["key"], "w").where("found = 1").drop("found"), "listed")
+        out = stage(join_unique(entries, lists, ["key"], "w", small=0).where("found = 1").drop("found"), "listed")
+        release(lists)
+        return out
 
     def own_shingles(self, rows: DataFrame) -> DataFrame:
         """row, own: how many of its shingles are in no other of these rows."""
@@ -392,13 +409,13 @@ class _Linker:
         return stage(single.groupBy("row").agg(F.count("*").alias("own")), "own")
 
     def run(self) -> None:
-        entries = self.nodes.mapInArrow(_lists, "key long, row long, n long, sig binary").withColumn("comp", F.col("row"))
+        entries = self.nodes.select("row", "n", "low").mapInArrow(_lists, "key long, row long, n long").withColumn("comp", F.col("row"))
         listed = self.listed(entries, 2)
         self.resolve(self.paired(listed))
         # Long lists that still join several components: all pairs across components that share three of them
         # (a pair that shares another list has been met there, or is in one component by now).
         roots = self.joined().select(F.col("node").alias("row"), "root")
-        long = listed.where(F.col("w") > SHORT).drop("comp", "w", "sig").join(roots, "row", "left").withColumn("comp", F.coalesce("root", "row")).drop("root")
+        long = listed.where(F.col("w") > SHORT).drop("comp", "w").join(roots, "row", "left").withColumn("comp", F.coalesce("root", "row")).drop("root")
         long = self.listed(long, SHORT + 1)
         texts = long.groupBy("row").agg(F.first("n").alias("n"), F.first("comp").alias("comp"), F.collect_set("key").alias("keys"))
         texts = stage(texts.where(F.size("keys") >= OVERLAP), "on-long-lists")
