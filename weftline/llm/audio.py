@@ -8,7 +8,9 @@ vote for: those with votes enough are tried from the most voted on, and the firs
 bits over the whole overlap confirms is taken.
 
 Defined cases: audio that is null, isn't 16-bit PCM WAV or is too short has no fingerprint and aligns with
-nothing; rows that repeat an id are members of a class each; an empty table gives an empty result.
+nothing; rows that repeat an id are members of a class each; a null id has a fingerprint, but is no class's
+representative; an empty table gives an empty result; other columns aren't read. Long recordings are folded in blocks of
+FRAMES_AT_ONCE frames. Of matches with equal errors the smaller id comes first.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_unique, ragged, spread, stage, table, workers
+from .common import join_unique, mix, ragged, spread, stage, table, tidy, workers
 
 FRAME, HOP = 2048, 512
 MOST_ERRORS, SHARED, OVERLAP = 0.2, 3, 8
 #: Frames of asking fingerprints in one block, and votes that are held before they are summed.
 BLOCK, AT_ONCE = 2_000_000, 4_000_000
+FRAMES_AT_ONCE = 2048
 _LOW, _HIGH = 65.0, 2100.0
 #: The filters by rule: (shape, first pitch class, height, width in frames).
 FILTERS = tuple((k % 4, (5 * k) % 12 - ((5 * k) % 12 + 2 + k % 3 > 12) * (2 + k % 3), 2 + k % 3, 4 + 3 * (k % 4)) for k in range(16))
@@ -62,14 +65,17 @@ def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
     """[frame, pitch class], each frame of length 1."""
     if len(samples) < FRAME:
         return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP] * np.hanning(FRAME)
-    power = np.abs(np.fft.rfft(frames, axis=1)) ** 2
     hertz = np.fft.rfftfreq(FRAME, 1 / rate)
     use = np.flatnonzero((hertz >= _LOW) & (hertz <= min(_HIGH, rate / 2)))
     pitch = np.round(12 * np.log2(hertz[use] / 440)).astype(int) % 12
     fold = np.zeros((len(use), 12))
     fold[np.arange(len(use)), pitch] = 1
-    image = power[:, use] @ fold
+    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
+    window, parts = np.hanning(FRAME), []
+    for a in range(0, len(frames), FRAMES_AT_ONCE):
+        spectrum = np.fft.rfft(frames[a : a + FRAMES_AT_ONCE] * window, axis=1)[:, use]
+        parts.append((spectrum.real**2 + spectrum.imag**2) @ fold)
+    image = np.concatenate(parts)
     kernel = np.array([0.25, 0.75, 1, 0.75, 0.25])
     image = np.stack([np.convolve(c, kernel, "same") for c in image.T], axis=1) if len(image) >= 5 else image
     norm = np.sqrt((image**2).sum(axis=1, keepdims=True))
@@ -113,7 +119,7 @@ def fingerprints(clips: DataFrame) -> DataFrame:
             found = [fingerprint(*from_wav(x)) for x in batch["audio"].to_pylist()]
             yield pa.record_batch({"id": batch["id"], "n": pa.array([len(x) for x in found], pa.int64()), "print": pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())})
 
-    return clips.select("id", "audio").mapInArrow(run, "id long, n long, print binary")
+    return clips.select("id", "audio").mapInArrow(tidy(run), "id long, n long, print binary")
 
 
 def _bit_errors(x: np.ndarray, y: np.ndarray, offset: int) -> float:
@@ -206,28 +212,39 @@ def align(clips: DataFrame, every: int = 20, block: int = BLOCK) -> tuple[DataFr
     for i in range(n):
         mine = asking.select("rep", "print").where(F.pmod(F.xxhash64("rep"), F.lit(n)) == i).orderBy("rep").toArrow()
         held = spark.sparkContext.broadcast(_index(mine["rep"].to_numpy(), mine["print"].to_pylist()))
-        found.append(stage(dealt.mapInArrow(_aligner(held), "q long, r long, shift long, error double"), "matches"))
+        found.append(stage(dealt.mapInArrow(tidy(_aligner(held)), "q long, r long, shift long, error double"), "matches"))
     members = join_unique(prints.select("id", "n", key.alias("key")), classes.select("key", "rep", "w"), ["key"], "w").select("id", "n", "rep")
     return members, reduce(DataFrame.union, found)
 
 
-RATE, NOTES, NOTE = 8000, 64, 1024
+RATE, NOTE = 8000, 1024
+#: Notes of a piece and of a recording of it, and values whose signs tell the piece.
+PIECE, PLAYED, SIGNS = 64, 48, 12
 
 
-def tune(vector: np.ndarray) -> np.ndarray:
-    """A recording of a vector, a note for each value: stands in for audio, which the tables don't have."""
-    v = np.zeros(NOTES) if vector is None else np.resize(np.nan_to_num(np.asarray(vector, float)), NOTES)
-    semitone = np.clip(np.round(v * 40), -12, 12)
-    phase = np.cumsum(np.repeat(220 * 2 ** (semitone / 12), NOTE)) * 2 * np.pi / RATE
+def tune(semitones: np.ndarray) -> np.ndarray:
+    phase = np.cumsum(np.repeat(220 * 2 ** (np.asarray(semitones, float) / 12), NOTE)) * 2 * np.pi / RATE
     return (np.sin(phase) + 0.5 * np.sin(2 * phase)) * 0.5
 
 
+def performance(vector) -> np.ndarray:
+    """A recording of a vector: stands in for audio, which the tables don't have. The signs of its first values name a piece (a
+    fixed pseudorandom melody), the next value says where the recording of it begins, the others are its noise. So rows that share
+    these signs are recordings of one piece, each an excerpt of its own."""
+    v = np.nan_to_num(np.resize(np.asarray([0.0] if vector is None or not len(vector) else vector, float), 64))
+    name = int(sum(1 << k for k in range(SIGNS) if v[k] > 0))
+    notes = mix(np.arange(PIECE, dtype=np.uint64) + np.uint64(name * PIECE + 1)) % np.uint64(25)
+    first = int(abs(v[SIGNS]) * 1000) % (PIECE - PLAYED + 1)
+    out = tune(notes[first : first + PLAYED].astype(float) - 12)
+    return out + 0.02 * np.resize(v[SIGNS + 1 :], len(out))
+
+
 def recordings(vectors: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 64):
                 some = batch.slice(a, 64)
-                yield pa.record_batch([some["vec_id"], pa.array([to_wav(tune(v), RATE) for v in some["embedding"].to_pylist()], pa.binary())], names=["id", "audio"])
+                yield pa.record_batch([some["vec_id"], pa.array([to_wav(performance(v), RATE) for v in some["embedding"].to_pylist()], pa.binary())], names=["id", "audio"])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, "id long, audio binary")
 
