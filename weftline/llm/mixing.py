@@ -1,7 +1,8 @@
 """Mixing sources to target weights, by blocks of words.
 
-The words of each source, document after document, are cut into blocks of fixed length (a
-two-pass prefix sum over the partitions' totals gives every document its place in its source).
+The words of each source, document after document in the order of a hash, are cut into blocks of fixed length (a
+two-pass prefix sum over the totals of ranges of that hash gives every document its place in its source; so the result
+doesn't depend on how the rows are spread over files and tasks).
 The mix is a row of output shards. Each shard draws from a multinomial how many of its slots each
 source fills; the draws are without replacement from the slots that a source still has to fill,
 so that the sums over all shards are exactly those that the targets ask for. The slots of a source
@@ -12,7 +13,9 @@ block only, so that a source's words come to its rounded target.
 
 Defined cases: sources in the order of their code points weigh by `weights` in turn, null last;
 a text that is null or has no word has size 0 and is never taken; without any words all
-targets are 0; rows that repeat a doc_id are mixed each; a null doc_id is kept. A document is
+targets are 0; rows that repeat a doc_id are mixed each; a null doc_id is kept; an empty table gives an empty result;
+columns of any other names stay as they are; a very long text is cut over many blocks. Rows with equal hashes follow
+doc_id and the hash of the text, and rows that are equal in these as well may change places. A document is
 taken at most `most` times its size, as targets stop there and blocks repeat in whole rounds.
 """
 
@@ -27,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, stage, table
+from .common import mix, spread, stage, table, tidy
 
-WEIGHTS, MOST, BLOCK, SHARD_SLOTS = (5, 2, 1), 3, 256, 100_000
+WEIGHTS, MOST, BLOCK, SHARD_SLOTS, PART_ROWS = (5, 2, 1), 3, 256, 100_000, 20_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
@@ -143,12 +146,13 @@ def _position(n: int, key, block: int) -> int:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = 1, row_id: str | None = None) -> DataFrame:
-    """docs: doc_id, source, text, and in the column `row_id`, where one is named, the number that
-    monotonically_increasing_id() gave each row. Out, for each row: doc_id, source, row_id, size, source_size, target,
+    """docs: doc_id, source, text, and in the column `row_id`, where one is named, a number of its own for each row. Out, for each row: doc_id, source, row_id, size, source_size, target,
     taken, and segments: how often the mix takes which ranges of its words (start, length, times)."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row_id"))
-    rows = stage(rows.withColumn("part", F.shiftright("row_id", 33)), "sizes")
+    # What the order of words goes by: nothing of it depends on where a row is stored.
+    key, text_key = F.xxhash64("doc_id", F.lit(seed)), F.xxhash64("text")
+    rows = stage(docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row_id"), key.alias("key"), text_key.alias("text_key")), "sizes")
+    rows = rows.withColumn("part", F.pmod("key", F.lit(spread(rows.count(), PART_ROWS))))
     by_part = stage(rows.groupBy("part", "source").agg(F.sum("size").alias("n")), "part-sizes")
     # The driver holds a few numbers for each source, whatever their documents.
     sizes: dict[str | None, int] = {r["source"]: r["n"] for r in by_part.groupBy("source").agg(F.sum("n").alias("n")).toLocalIterator()}
@@ -166,7 +170,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
     # As a table: the planner would take the slots' size for that of the plan they come from, and broadcast them.
     held = stage(held.groupBy("source", "no_source", "block").agg(F.sum("whole").alias("whole"), F.max("part").alias("part")), "slots")
 
-    # Each document's first word in its source: the partition's base and a running sum within the partition.
+    # Each document's first word in its source: the base of its range and a running sum within the range.
     places = rows.groupBy("part").applyInArrow(_places, "doc_id long, source string, row_id long, size long, part long, local long")
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = by_part.select(F.col("part").alias("_part"), F.col("source").alias("_source"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -190,8 +194,8 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 
 
 def _places(rows: pa.Table) -> pa.Table:
-    """One partition's rows: the words of the same source before each."""
-    rows = rows.sort_by("row_id")
+    """The rows of one range: the words of the same source before each."""
+    rows = rows.sort_by([("key", "ascending"), ("doc_id", "ascending"), ("text_key", "ascending"), ("size", "ascending")])
     code = rows["source"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
     size = rows["size"].to_numpy()
     order = np.argsort(code, kind="stable")
@@ -224,17 +228,17 @@ def mixed_text(text: str, segments: list[dict]) -> str:
 
 def mix_texts(docs: DataFrame, **options) -> DataFrame:
     """The rows that the mix takes, with the texts that it takes of them; a column n_chars follows."""
-    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    taken = mix_sources(numbered, row_id="_row", **options).where("taken > 0").select(F.col("row_id").alias("_row"), "segments")
     columns = [c for c in docs.columns if c != "text"]
-    rows = numbered.join(taken, "_row").select("text", "segments", F.struct(*columns).alias("rest"))
+    numbered = stage(docs.select("doc_id", "source", "text", F.struct(*columns).alias("rest"), F.monotonically_increasing_id().alias("row")), "numbered")
+    taken = mix_sources(numbered, row_id="row", **options).where("taken > 0").select(F.col("row_id").alias("row"), "segments")
+    rows = numbered.select("row", "text", "rest").join(taken, "row").select("text", "segments", "rest")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [mixed_text(t or "", s) for t, s in zip(batch["text"].to_pylist(), batch["segments"].to_pylist())]
             yield pa.record_batch([pa.array(texts, pa.string()), batch["rest"]], names=["text", "rest"])
 
-    out = rows.mapInArrow(rewrite, f"text string, rest {rows.schema['rest'].dataType.simpleString()}")
+    out = rows.mapInArrow(tidy(rewrite), f"text string, rest {rows.schema['rest'].dataType.simpleString()}")
     length = F.length("text").cast("long")
     return out.select(*["text" if c == "text" else length.alias(c) if c == "n_chars" else F.col(f"rest.{c}").alias(c) for c in docs.columns])
 
