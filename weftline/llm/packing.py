@@ -6,7 +6,8 @@ gives every document its global offset. Second pass: fixed windows are cut witho
 window that crosses two partitions gets boundary records (pieces) from both.
 
 Defined cases: a null or empty text is its end token alone; a null doc_id is kept; repeated rows
-are packed each; an empty table gives no pieces. Only doc_id and text are read. The last window
+are packed each; an empty table gives no pieces. Only doc_id and text are read, whatever other columns are
+called. A very long text is cut over many windows. Strings of added tokens get the ids that the library gives them. The last window
 is padded to its full length, unless what it holds is a power of two (column padded_to).
 """
 
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, strings, table
+from .common import stage, strings, table, tidy
 from .tokens import bpe
 
 WINDOW = 2048
@@ -88,7 +89,7 @@ def _cutter(window: int, end_id: int, width: int, total: int):
 def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
     """First pass. Kept as a table, so that the second pass sees the same partitions and ids."""
     rows = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
-    return stage(rows.mapInArrow(_tokenizer(vocabulary), _TOKENIZED), "tokens")
+    return stage(rows.mapInArrow(tidy(_tokenizer(vocabulary)), _TOKENIZED), "tokens")
 
 
 def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:

@@ -3,7 +3,8 @@
 The library `tokenizers` spends most of its time on pieces (words with their leading space) that
 it has met before. Here NumPy cuts all texts of a block into pieces by the vocabulary's own
 pattern, looks them up in a bounded table, and gives only new pieces to `tokenizers`. Texts with
-characters from U+3000 on go to it whole. Ids are equal to those of the library (tested).
+characters from U+3000 on, or with the string of an added token (such as <|endoftext|>, which the library takes as that
+token), go to it whole. Ids are equal to those of the library (tested).
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ OTHER, LETTER, NUMBER, SPACE = range(4)
 _FROM = 0x3000
 _WHITE = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F]
 #: Pieces, and ids in them, that one Python worker remembers at most.
-REMEMBER = 2_000_000
+REMEMBER = 1_000_000
 
 
 class Bpe:
@@ -28,7 +29,7 @@ class Bpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         every = "".join(map(chr, range(_FROM)))
         self.kind = np.zeros(_FROM + 1, np.uint8)
@@ -67,9 +68,13 @@ class Bpe:
         before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
         if not len(points):
             return np.zeros(0, self.dtype), np.zeros(len(offsets) - 1, np.int64)
-        if points.max() >= _FROM:
+        added = [t.encode() for t in self.added if t in text]
+        if points.max() >= _FROM or added:
             far = np.add.reduceat(np.append(points >= _FROM, False), before[:-1]) * (np.diff(before) > 0) > 0
-            return self._mixed(data, offsets, far)
+            if added:
+                far |= [any(t in data[a:b].tobytes() for t in added) for a, b in zip(offsets[:-1], offsets[1:])]
+            if far.any():
+                return self._mixed(data, offsets, far)
         starts = self._starts(points, before)
         first = np.searchsorted(starts, before)
         ends = np.append(starts[1:], len(points))
