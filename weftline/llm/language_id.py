@@ -6,28 +6,34 @@ the product over its words. Piece probabilities come from expectation maximisati
 of a bounded sample of labelled rows: PER_LANGUAGE rows of each language, whole texts.
 
 Scoring runs the forward algorithm for all new words of a block at once, one matrix for each word
-length, and remembers a bounded number of words in each Python worker.
+length, following a span only while it begins some piece, and remembers a bounded number of words in each Python worker.
+Chances are scaled by a constant for each character, words beyond LONGEST characters step by step, so that none becomes 0.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; without labelled rows
 every text is; rows that repeat a doc_id are predicted each; a null doc_id is kept and never
-trains; an empty table gives an empty result. Words beyond 48 characters are cut into parts of 48.
+trains; an empty table gives an empty result; other columns stay, and lang_pred and score replace those of the same
+name. Texts and words of any length are scored whole; words beyond LONGEST characters don't train. A tie goes to the
+language that comes first by code points.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Slots, blocks, mix, stage, strings, table, words
+from .common import Slots, blocks, mix, sample_by, stage, strings, table, tidy, words
 
 PER_LANGUAGE = 1500
-ROUNDS, LONGEST, UNKNOWN, REMEMBER = 3, 48, 1e-9, 1_000_000
+ROUNDS, LONGEST, UNKNOWN, REMEMBER = 3, 48, 1e-9, 400_000
+#: What chances are multiplied by for each character: an unknown character's is small, and LONGEST of them still more than 0.
+SCALE = 1e3
 MARK = "▁"
 
 
@@ -45,30 +51,41 @@ class Pieces:
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         lowered = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))}
-        self.pieces = sorted(p for p in lowered if 0 < len(p) <= 16)
+        self.pieces = sorted(p for p in lowered if p)
+        self.number = {p: i for i, p in enumerate(self.pieces)}
         self.longest = max(map(len, self.pieces))
+        # What any piece begins with: by hash, and whether that is a piece itself.
+        begun = sorted({p[:k] for p in self.pieces for k in range(1, len(p) + 1)})
+        self.piece_of = np.array([self.number.get(p, -1) for p in begun])
         self.slots = Slots()
-        self.slots.add(np.array([self._hash(np.array([list(map(ord, p))], np.uint64))[0] for p in self.pieces], np.uint64))
+        self.slots.add(np.array([self._hash(p) for p in begun], np.uint64))
 
     @staticmethod
-    def _hash(points: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(points), np.uint64)
-        for c in points.T:
-            h = Pieces.step(h, c)
-        return h
+    def _hash(p: str) -> np.uint64:
+        h = np.zeros(1, np.uint64)
+        for c in p:
+            h = Pieces.step(h, np.array([ord(c)], np.uint64))
+        return h[0]
 
     @staticmethod
     def step(h: np.ndarray, c: np.ndarray) -> np.ndarray:
         return mix(h * np.uint64(0x9E3779B97F4A7C15) + c + np.uint64(1)) | np.uint64(1)
 
-    def spans(self, points: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(start, end, each word's piece there: its number, or -1), by rising start."""
-        length = points.shape[1]
+    def spans(self, points: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(start, end, words, their pieces there), by rising start; a single character that is no piece comes as -1."""
+        n, length = points.shape
         for i in range(length):
-            h = np.zeros(len(points), np.uint64)
+            rows, h = np.arange(n), np.zeros(n, np.uint64)
             for j in range(i + 1, min(length, i + self.longest) + 1):
-                h = self.step(h, points[:, j - 1])
-                yield i, j, self.slots.find(h)
+                h = self.step(h, points[rows, j - 1])
+                begun = self.slots.find(h)
+                go = begun >= 0
+                found = np.where(go, self.piece_of[begun], -1)
+                use = slice(None) if j == i + 1 else found >= 0
+                yield i, j, rows[use], found[use]
+                rows, h = rows[go], h[go]
+                if not len(rows):
+                    break
 
 
 _pieces: dict[str, Pieces] = {}
@@ -81,39 +98,59 @@ def pieces_of(path: str) -> Pieces:
 
 
 def _by_length(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(indices, code points) of words of equal length; a long word is several rows with one index."""
+    """(indices, code points) of words of equal length, up to LONGEST with the mark before them."""
     parts: dict[int, tuple[list[int], list[str]]] = {}
     for k, w in enumerate(texts):
         w = MARK + w.lower()
-        for a in range(0, len(w), LONGEST):
-            p = w[a : a + LONGEST]
-            at = parts.setdefault(len(p), ([], []))
+        if len(w) <= LONGEST:
+            at = parts.setdefault(len(w), ([], []))
             at[0].append(k)
-            at[1].append(p)
+            at[1].append(w)
     for length, (index, some) in sorted(parts.items()):
         yield np.array(index), np.frombuffer("".join(some).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length).astype(np.uint64)
 
 
 def forward(pieces: Pieces, points: np.ndarray, chances: np.ndarray) -> np.ndarray:
-    """alpha[word, position, language]; chances: [piece, language], and a last row of zeros. One
-    character that is no piece has the chance UNKNOWN."""
+    """alpha[word, position, language], times SCALE for each character; chances: [piece, language], and a last row of zeros.
+    One character that is no piece has the chance UNKNOWN."""
     alpha = np.zeros((len(points), points.shape[1] + 1, chances.shape[1]))
     alpha[:, 0] = 1
-    for i, j, found in pieces.spans(points):
+    for i, j, rows, found in pieces.spans(points):
         p = chances[found]
         if j == i + 1:
             p[found < 0] = UNKNOWN
-        alpha[:, j] += alpha[:, i] * p
+        alpha[rows, j] += alpha[rows, i] * (p * SCALE ** (j - i))
     return alpha
 
 
+def _long_word(pieces: Pieces, word: str, chances: np.ndarray) -> np.ndarray:
+    """log chance of one word of any length: only the last sums are kept, scaled to their largest."""
+    low, n = 0.0, pieces.longest
+    last = [np.zeros(chances.shape[1])] * (n - 1) + [np.ones(chances.shape[1])]  # the sums of the n positions before
+    for j in range(1, len(word) + 1):
+        total = np.zeros(chances.shape[1])
+        for k in range(1, min(n, j) + 1):
+            at = pieces.number.get(word[j - k : j])
+            if at is not None:
+                total = total + last[-k] * chances[at]
+            elif k == 1:
+                total = total + last[-1] * UNKNOWN
+        most = total.max()
+        low += np.log(most)
+        last = [x / most for x in last[1:]] + [total / most]
+    return np.log(np.maximum(last[-1], 1e-300)) + low
+
+
 def word_scores(pieces: Pieces, texts: list[str], chances: np.ndarray) -> np.ndarray:
     """log of each word's chance in each language, all segmentations summed."""
     out = np.zeros((len(texts), chances.shape[1]))
     for index, points in _by_length(texts):
         for a in range(0, len(index), 20_000):
             alpha = forward(pieces, points[a : a + 20_000], chances)
-            np.add.at(out, index[a : a + 20_000], np.log(np.maximum(alpha[:, -1], 1e-300)))
+            out[index[a : a + 20_000]] = np.log(np.maximum(alpha[:, -1], 1e-300)) - points.shape[1] * np.log(SCALE)
+    for k, w in enumerate(texts):
+        if len(MARK + w.lower()) > LONGEST:
+            out[k] = _long_word(pieces, MARK + w.lower(), chances)
     return out
 
 
@@ -136,26 +173,26 @@ def _expected(path: str, languages: list[str], chances: np.ndarray):
 
 
 def _count(pieces: Pieces, points: np.ndarray, chances: np.ndarray, number: np.ndarray, times: np.ndarray, total: np.ndarray) -> None:
-    rows = np.arange(len(points))
     own = np.append(chances, np.zeros((1, chances.shape[1])), axis=0)
     spans = []
     alpha = np.zeros((len(points), points.shape[1] + 1))
     alpha[:, 0] = 1
-    for i, j, found in pieces.spans(points):
-        p = own[found, number]
+    for i, j, rows, found in pieces.spans(points):
+        p = own[found, number[rows]]
         if j == i + 1:
             p[found < 0] = UNKNOWN
-        alpha[:, j] += alpha[:, i] * p
-        spans.append((i, j, found, p))
+        p = p * SCALE ** (j - i)
+        alpha[rows, j] += alpha[rows, i] * p
+        spans.append((i, j, rows, found, p))
     beta = np.zeros_like(alpha)
     beta[:, -1] = 1
-    for i, j, _, p in reversed(spans):
-        beta[:, i] += p * beta[:, j]
+    for i, j, rows, _, p in reversed(spans):
+        beta[rows, i] += p * beta[rows, j]
     norm = np.maximum(alpha[:, -1], 1e-300)
-    for i, j, found, p in spans:
-        share = times * alpha[:, i] * p * beta[:, j] / norm
-        good = rows[(found >= 0) & (share > 0)]
-        np.add.at(total, (found[good], number[good]), share[good])
+    for i, j, rows, found, p in spans:
+        share = times[rows] * alpha[rows, i] * p * beta[rows, j] / norm[rows]
+        good = (found >= 0) & (share > 0)
+        np.add.at(total, (found[good], number[rows[good]]), share[good])
 
 
 def held_out(modulus: int, remainder: int) -> Column:
@@ -171,9 +208,8 @@ def train(docs: DataFrame, path: str, per_language: int = PER_LANGUAGE, rounds:
     """docs: doc_id, text, lang, those to learn from."""
     spark = docs.sparkSession
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # per_language ids of each language: the bound of what is broadcast.
-    chosen = labelled.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select(F.col("doc_id").alias("_id"))
+    chosen = sample_by(labelled.select("doc_id", "lang"), "lang", "doc_id", per_language).select(F.col("doc_id").alias("_id"))
     sample = labelled.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"), "left_semi")
     word = F.explode(F.split(F.lower("text"), "[\\x20\\x09-\\x0D]+")).alias("word")
     counts = stage(sample.select("lang", word).where("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n")), "language-words")
@@ -191,12 +227,19 @@ def train(docs: DataFrame, path: str, per_language: int = PER_LANGUAGE, rounds:
 
 
 class _Scorer:
-    """Log chances of words, remembered."""
+    """Log chances of words, remembered: one for each Python worker, and for one model at a time."""
 
     def __init__(self, model: Model):
         self.model, self.pieces = model, pieces_of(model.path)
         self.forget()
 
+    @classmethod
+    def of(cls, name: str, held) -> _Scorer:
+        if name not in _scorers:
+            _scorers.clear()
+            _scorers[name] = cls(held.value)
+        return _scorers[name]
+
     def forget(self) -> None:
         self.slots, self.scores = Slots(), np.zeros((1 << 12, len(self.model.languages)))
 
@@ -225,6 +268,8 @@ class _Scorer:
         return sums
 
 
+_scorers: dict[str, _Scorer] = {}
+
 _ASCII_LETTER = np.zeros(256, bool)
 _ASCII_LETTER[65:91] = _ASCII_LETTER[97:123] = True
 
@@ -237,9 +282,9 @@ def _lettered(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _predictor(held):
+def _predictor(held, name: str):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _Scorer(held.value)
+        scorer = _Scorer.of(name, held)
         for batch in batches:
             data, offsets = strings(batch["text"])
             names, best = [], []
@@ -257,7 +302,7 @@ def _predictor(held):
                 best += np.where(lettered, chance, 0.0).tolist()
             yield pa.record_batch([batch["doc_id"], pa.array(names, pa.string()), pa.array(best, pa.float64()), batch["rest"]], names=["doc_id", "lang_pred", "score", "rest"])
 
-    return predict
+    return tidy(predict)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -266,7 +311,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "lang_pred", "score")]
     rows = docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_")).alias("rest"))
     kind = rows.schema["rest"].dataType.simpleString()
-    out = rows.mapInArrow(_predictor(held), f"doc_id long, lang_pred string, score double, rest {kind}")
+    out = rows.mapInArrow(_predictor(held, uuid.uuid4().hex), f"doc_id long, lang_pred string, score double, rest {kind}")
     return out.select("doc_id", "lang_pred", "score", *[F.col(f"rest.{c}").alias(c) for c in others])
 
 
