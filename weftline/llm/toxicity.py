@@ -1,9 +1,9 @@
 """Toxicity by weak supervision.
 
-Voters: a lexicon of public insults, patterns (a person addressed with an insult, shouting, masked
+Voters: lexicons of public insults (one voter for each language and kind), patterns (a person addressed with an insult, shouting, masked
 letters), and many groups of features (words and their first 4, 5 and 6 bytes) that a bounded
 sample of labelled rows ties to toxic texts (three quarters of the texts with such a feature are toxic, and
-chance would hardly make it so). A generative label model (two classes, each voter with
+of all features tried, chance would make only FALSE_ALARMS look so). A generative label model (two classes, each voter with
 its own rates of true and false alarms, fitted by expectation maximisation) gives every row of the
 sample a posterior label; where two voters agree within a class more than chance, as their estimated
 correlations tell, their votes count less. A linear (logistic) classifier is trained on
@@ -20,32 +20,42 @@ never learned from; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _LOWER, Slots, blocks, hash_words, mix, stage, strings, table, words
+from .common import _LOWER, Slots, blocks, hash_words, mix, sample_by, stage, strings, table, tidy, words
 from .language_id import held_out
 
-SAMPLE, FEATURES, EVIDENCE, PURE, GROUPS, LIMIT = 10_000, 4_000, 26.0, 0.75, 24, 0.7
+SAMPLE, FEATURES, FALSE_ALARMS, PURE, GROUPS, LIMIT = 10_000, 4_000, 4.0, 0.75, 24, 0.7
+#: A toxic text that is missed weighs as much as so many false alarms, where the offset is set.
+MISSED = 3
 PREFIXES = (4, 5, 6)
-#: A list of common insults in four languages.
-LEXICON = (
-    "idiot", "idiots", "idiotic", "stupid", "moron", "morons", "moronic", "loser", "losers", "scum", "trash", "clown",
-    "pathetic", "worthless", "disgusting", "imbecile", "dumb", "garbage", "vermin", "filth", "bastard", "cretin",
-    "dummkopf", "trottel", "abschaum", "arschloch", "idioten", "connard", "salaud", "imbécile", "crétin", "débile",
-    "imbécil", "estúpido", "estúpida", "basura", "escoria", "idiota",
-)
+#: Common insults in four languages, by language and kind.
+LEXICONS = {
+    "en, mind": "idiot idiots idiotic stupid moron morons moronic imbecile imbeciles dumb dumbass cretin halfwit nitwit dimwit simpleton",
+    "en, worth": "loser losers worthless pathetic useless clown clowns failure nobody coward cowards",
+    "en, dirt": "scum trash garbage vermin filth filthy disgusting repulsive parasite parasites pig pigs rat rats",
+    "en, vulgar": "bastard bastards bitch bitches asshole assholes dickhead prick jerk jerks wanker twat crap bullshit",
+    "de, mind": "dummkopf trottel idiot idioten schwachkopf vollidiot blödmann depp deppen dumm blöd",
+    "de, worth": "versager abschaum nichtsnutz pack gesindel dreckskerl drecksack arschloch mistkerl widerlich ekelhaft",
+    "fr, mind": "imbécile imbéciles crétin crétins débile débiles abruti abrutis idiote stupide",
+    "fr, worth": "connard connards salaud salope ordure racaille minable raté déchet dégoûtant",
+    "es, mind": "imbécil imbéciles estúpido estúpida estúpidos idiota idiotas tonto tonta cretino",
+    "es, worth": "basura escoria gilipollas cabrón cabrones inútil asqueroso asquerosa patético perdedor",
+}
 PATTERNS = (
     rb"(?i)\byou(?:'re| are)? (?:an? |such an? |all )?(?:idiot|moron|loser|clown|scum|trash|stupid|pathetic|worthless|disgusting)",
     rb"(?i)\b(?:shut up|get lost|drop dead|go to hell|hate you|kill yourself)\b",
     rb"\b[a-zA-Z]+[*@#$]{2,}[a-zA-Z]+\b",
     rb"(?:\b[A-Z]{3,}\b[ ,]+){4,}",
 )
+SPECIAL = len(LEXICONS) + len(PATTERNS)
 _COMPILED = [re.compile(p) for p in PATTERNS]
 
 
@@ -89,13 +99,17 @@ class Voters:
 
     def __init__(self, mined: np.ndarray):
         self.mined = mined
-        lexicon = np.unique(np.concatenate([hash_words([w.encode() + end for w in LEXICON]) for end in (b"", b".", b",", b"!", b"?")]) | np.uint64(1))
-        self.lexicon = Slots()
-        self.lexicon.add(lexicon)
+        found = {}
+        for k, some in enumerate(LEXICONS.values()):  # a word of several lexicons counts for the first
+            for end in (b"", b".", b",", b"!", b"?", b";", b":"):
+                for h in hash_words([w.encode() + end for w in some.split()]) | np.uint64(1):
+                    found.setdefault(int(h), k)
+        self.lexicon, self.voter = Slots(), np.array(list(found.values()))
+        self.lexicon.add(np.array(list(found), np.uint64))
         self.slots = Slots()
         self.slots.add(mined)
         self.group = (mix(mined ^ np.uint64(77)) % np.uint64(GROUPS)).astype(np.int64)
-        self.n = GROUPS + 1 + len(PATTERNS)
+        self.n = GROUPS + SPECIAL
 
     def read(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """votes[text, voter]; and of the mined features that texts have: text and feature number."""
@@ -105,11 +119,12 @@ class Voters:
         votes = np.zeros((len(offsets) - 1, self.n), np.uint8)
         hit = which >= 0
         votes[text[hit], self.group[which[hit]]] = 1
-        votes[text[self.lexicon.find(h) >= 0], GROUPS] = 1
+        word = self.lexicon.find(h)
+        votes[text[word >= 0], GROUPS + self.voter[word[word >= 0]]] = 1
         for k, p in enumerate(_COMPILED):
             for i in range(len(offsets) - 1):
                 if p.search(data[offsets[i] : offsets[i + 1]].tobytes()):
-                    votes[i, GROUPS + 1 + k] = 1
+                    votes[i, GROUPS + len(LEXICONS) + k] = 1
         return votes, text[hit], which[hit]
 
 
@@ -173,8 +188,7 @@ def _sampled(rows: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     """doc_id, text, toxic of up to `sample` rows of each label, chosen by a hash of doc_id."""
     labels = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     labels = labels.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labels.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id", "toxic")
+    chosen = sample_by(labels, "toxic", "doc_id", sample).select("doc_id", "toxic")
     return rows.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
@@ -189,7 +203,10 @@ def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     share, both = (bad + 0.5) / (bad + good + 1.0), F.col("bad") + F.col("good")
     surprise = lambda n, expected: F.when(n > 0, 2 * n * F.log(n / expected)).otherwise(0.0)
     evidence = surprise(F.col("bad"), both * share) + surprise(F.col("good"), both * (1 - share))
-    tied = counted.where((F.col("bad") >= PURE * both) & (F.col("bad") >= 3)).withColumn("evidence", F.round(evidence, 6)).where(F.col("evidence") >= EVIDENCE)
+    counted = stage(counted.where(both >= 3), "toxic-counts")
+    # Of n features without a tie, about n exp(-x / 2) have this evidence or more.
+    least = 2 * math.log(max(1.0, counted.count() / FALSE_ALARMS))
+    tied = counted.where((F.col("bad") >= PURE * both) & (F.col("bad") >= 3)).withColumn("evidence", F.round(evidence, 6)).where(F.col("evidence") >= least)
     top = tied.orderBy(F.desc("evidence"), "h").limit(FEATURES)
     mined = np.sort(np.array([r["h"] for r in top.select("h").collect()], np.int64).view(np.uint64))
     held = kept.sparkSession.sparkContext.broadcast(mined)
@@ -203,10 +220,11 @@ def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             seen = [np.unique(which[a:b]).astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
             yield pa.record_batch([batch["doc_id"], batch["toxic"], pa.array([x.tobytes() for x in votes], pa.binary()), pa.array(seen, pa.binary())], names=["doc_id", "toxic", "votes", "seen"])
 
+    # At most twice `sample` rows of some bytes each.
     rows_ = kept.mapInArrow(read, "doc_id long, toxic int, votes binary, seen binary").toPandas().sort_values("doc_id", ignore_index=True)
-    m, special = len(mined), 1 + len(PATTERNS)
+    m, special = len(mined), SPECIAL
     if not len(rows_) or not bad or not good:
-        return Model(mined, np.concatenate([np.zeros(m), [4.0, 4.0, 1.0, 1.0, 0.0]]), -3.0)
+        return Model(mined, np.concatenate([np.zeros(m), [4.0] * len(LEXICONS), [4.0, 1.0, 1.0, 0.0]]), -3.0)
     votes = np.stack([np.frombuffer(x, np.uint8) for x in rows_["votes"]])
     post = label_model(votes, prior)
     seen = [np.frombuffer(x, np.int32) for x in rows_["seen"]]
@@ -219,10 +237,10 @@ def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def _offset(z: np.ndarray, toxic: np.ndarray) -> float:
-    """The offset that puts LIMIT where the labels part best: in the middle of the widest gap that has the fewest errors."""
+    """The offset that puts LIMIT where the labels part best: in the middle of the widest gap that has the least errors, by weight."""
     order = np.argsort(z, kind="stable")
     z, toxic = z[order], toxic[order]
-    errors = np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum((1 - toxic)[::-1])[::-1], [0]])
+    errors = MISSED * np.concatenate([[0], np.cumsum(toxic)]) + np.concatenate([np.cumsum((1 - toxic)[::-1])[::-1], [0]])
     cuts = np.concatenate([[z[0] - 2], (z[1:] + z[:-1]) / 2, [z[-1] + 2]])
     gaps = np.concatenate([[0], np.diff(z), [0]])
     best = min(range(len(cuts)), key=lambda i: (errors[i] + (0 < i < len(z) and gaps[i] == 0) * 1e9, -gaps[i]))
@@ -244,7 +262,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.record_batch([batch["doc_id"], pa.array(s), pa.array((s >= LIMIT).astype(np.int32)), batch["rest"]], names=["doc_id", "score", "predicted", "rest"])
 
     kind = rows.schema["rest"].dataType.simpleString()
-    out = rows.mapInArrow(run, f"doc_id long, score double, predicted int, rest {kind}")
+    out = rows.mapInArrow(tidy(run), f"doc_id long, score double, predicted int, rest {kind}")
     return out.select("doc_id", "score", "predicted", *[F.col(f"rest.{c}").alias(c) for c in others])
 
 
