@@ -59,15 +59,20 @@ def bucketed(df: DataFrame, key: str, name: str, dealt: bool = False) -> DataFra
     return out
 
 
+def staged() -> set[str]:
+    """Where the staged tables are."""
+    return {path for _, path, _ in _staged}
+
+
 def release(*tables: DataFrame) -> None:
     """Removes staged tables that nothing reads any more."""
     clear({t.staged_at for t in tables})
 
 
 @atexit.register
-def clear(paths: set[str] | None = None, but: set[str] = frozenset()) -> None:
+def clear(paths: set[str] | None = None) -> None:
     """Removes staged tables of this process, all or those in paths."""
-    for entry in [x for x in _staged if (paths is None or x[1] in paths) and x[1] not in but]:
+    for entry in [x for x in _staged if paths is None or x[1] in paths]:
         _staged.remove(entry)
         spark, path, name = entry
         try:

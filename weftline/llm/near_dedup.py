@@ -320,11 +320,11 @@ def _with_both(pairs: DataFrame, held: DataFrame) -> DataFrame:
 
 
 class _Linker:
-    def __init__(self, docs: DataFrame, n_words: int, threshold: float):
+    def __init__(self, docs: DataFrame, n_words: int, threshold: float, row_id: str | None = None):
         self.docs, self.n_words, self.threshold = docs.select("doc_id", "text"), n_words, threshold
         self.links: list[DataFrame] = []
         self.roots, self.seen = None, 0
-        rows = self.docs.withColumn("row", F.monotonically_increasing_id())
+        rows = docs.select("doc_id", "text", (F.col(row_id) if row_id else F.monotonically_increasing_id()).alias("row"))
         self.sketched = stage(rows.mapInArrow(_sketch(n_words), "row long, doc_id long, n long, h1 long, h2 long, low binary, sketch binary"), "sketches")
         key = ["n", "h1", "h2"]
         classes = self.sketched.where("n > 0").groupBy(*key).agg(F.min("row").alias("rep"), F.min("doc_id").alias("first_id"), F.count("*").alias("w"))
@@ -456,22 +456,23 @@ class _Linker:
             self.links.append(stage(some.repartition(workers(asks.sparkSession)).mapInArrow(_matcher(held, self.threshold), "a long, b long"), "links"))
 
 
-def near_dedup(docs: DataFrame, n_words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs: doc_id, text. Out, for each row: doc_id, n_shingles, component_id, kept, row."""
-    linker = _Linker(docs, n_words, threshold)
+def near_dedup(docs: DataFrame, n_words: int = 5, threshold: float = 0.8, row_id: str | None = None) -> DataFrame:
+    """docs: doc_id, text, and in the column `row_id`, where one is named, a number of its own for each row. Out, for each row:
+    doc_id, n_shingles, component_id, kept, row, and root: the same number for all rows of a component."""
+    linker = _Linker(docs, n_words, threshold, row_id)
     linker.run()
     roots = linker.joined().select(F.col("node").alias("rep"), "root")
     classes = linker.classes.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
     firsts = classes.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("classes"))
     classes = join_unique(classes.select("n", "h1", "h2", "w", "root"), firsts, ["root"], "classes")
-    classes = stage(classes.select("n", "h1", "h2", "w", "component_id"), "class-components")
+    classes = stage(classes.select("n", "h1", "h2", "w", "component_id", "root"), "class-components")
     out = join_unique(linker.sketched.select("row", "doc_id", "n", "h1", "h2"), classes, ["n", "h1", "h2"], "w")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "row")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "row", F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("row")).alias("root"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"), 3, 0.85).drop("row")
+    return near_dedup(table(spark, sf_dir, "documents"), 3, 0.85).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def brute_force(texts: dict[int, str | None], n_words: int, percent: int, find: Callable | None = None) -> dict[int, tuple[int, int]]:
