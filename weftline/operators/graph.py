@@ -121,3 +121,30 @@ def interleaved(pairs: DataFrame) -> DataFrame:
     p = p.withColumn("r", F.expr("cast(greatest(size(l) div size(s), 1) as int)"))
     mixed = F.expr("flatten(transform(s, (x, i) -> concat(array(x), slice(l, i * r + 1, r))))")
     return p.select("key", F.posexplode(mixed).alias("i", "value"))
+
+
+def gold_dictionary(mentions: DataFrame, language: Column) -> DataFrame:
+    """mentions: doc, mention, entity; language: from doc. The distinct entities of each mention, by language."""
+    return mentions.groupBy(language.alias("lang"), "mention").agg(F.array_sort(F.collect_set("entity")).alias("entities"))
+
+
+def candidate_totals(cands: DataFrame) -> DataFrame:
+    """mention, entity -> the number of mentions and of their distinct entities."""
+    each = cands.groupBy("mention").agg(F.count_distinct("entity").alias("n"))
+    return each.agg(F.count("*").alias("mentions"), F.coalesce(F.sum("n"), F.lit(0)).alias("candidates"))
+
+
+def redirect_candidates(redirects: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """redirects: from, to (titles); dictionary: title, id. A redirect's title is a mention of where it leads."""
+    known = dictionary.select(F.col("title").alias("to"), F.col("id").alias("entity"))
+    return redirects.join(known, "to").select(F.lower("from").alias("mention"), "entity").distinct()
+
+
+def linked_pages(pages: DataFrame, titles: DataFrame) -> DataFrame:
+    """Pages whose title is one of the cross-linked ones (title)."""
+    return pages.join(titles.select("title").distinct(), "title", "left_semi")
+
+
+def paired_sizes(pairs: DataFrame) -> DataFrame:
+    """lang, sentences1, sentences2 -> for each lang the pairs with sentences on both sides."""
+    return pairs.groupBy("lang").agg(F.count_if((F.size("sentences1") > 0) & (F.size("sentences2") > 0)).alias("n"))

@@ -51,6 +51,16 @@ def coherence(cands: DataFrame, context: DataFrame) -> DataFrame:
     return j.groupBy("doc", "mention_id", "entity").agg(F.coalesce(F.max("s"), F.lit(0.0)).alias("csim_max"), F.coalesce(F.avg("s"), F.lit(0.0)).alias("csim_mean"))
 
 
+def second_pass(cands: DataFrame, predictions: DataFrame) -> DataFrame:
+    """The coherence of candidates (doc, mention_id, entity, vec) with what the first round (doc, mention_id, entity, score) took for the
+    other mentions of the document: the best candidate of each."""
+    best = predictions.groupBy("doc", "mention_id").agg(F.max_by("entity", F.struct("score", "entity")).alias("entity"))
+    taken = best.join(cands.select("doc", "mention_id", "entity", "vec"), ["doc", "mention_id", "entity"]).select("doc", F.col("mention_id").alias("_m"), F.col("vec").alias("cv"))
+    j = cands.join(taken, "doc", "left").where(F.col("_m").isNull() | (F.col("_m") != F.col("mention_id"))).withColumn("s", vectors.scaled_cosine(F.col("vec"), F.col("cv")))
+    sums = j.groupBy("doc", "mention_id", "entity").agg(F.max("s").alias("m"), F.avg("s").alias("a"))
+    return cands.select("doc", "mention_id", "entity").join(sums, ["doc", "mention_id", "entity"], "left").select("doc", "mention_id", "entity", F.coalesce("m", F.lit(0.0)).alias("csim_max"), F.coalesce("a", F.lit(0.0)).alias("csim_mean"))
+
+
 def _cos(a: np.ndarray, b: np.ndarray) -> float:
     n = np.linalg.norm(a) * np.linalg.norm(b)
     return float((a @ b / n + 1) / 2) if n > 1e-12 else 0.0

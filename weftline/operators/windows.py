@@ -34,3 +34,10 @@ def filtered(tokens: Column, words: Column | None, stop: Column | None) -> Colum
     if words is None or stop is None:
         return tokens
     return F.filter(tokens, lambda x: F.array_contains(words, x) & ~F.array_contains(stop, x) & (x != NUMBER))
+
+
+def keeping_anchor(tokens: str, start: str, length: str, width: int, anchor: Column) -> Column:
+    """The window with the span as one token, the anchor's own; null where that is null or nothing is beside it."""
+    left, right = F.expr(f"slice({tokens}, greatest({start} - {width}, 0) + 1, least({start}, {width}))"), F.expr(f"slice({tokens}, {start} + {length} + 1, {width})")
+    whole = F.concat(left, F.array(anchor), right)
+    return F.when(anchor.isNotNull() & (F.size(whole) > 1), whole)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import graph_queries, model_queries, source_queries, text_queries, vector_queries  # noqa: F401
+from . import evaluation_queries, graph_queries, model_queries, source_queries, text_queries, vector_queries  # noqa: F401
 from .base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -203,22 +203,22 @@ def skipgram_pairs(t):
     return W.skipgrams(sequences(t), "user_id", "t", 2).groupBy("centre", "context").agg(F.count("*").alias("n"))
 
 
-@query("WITH " + SEQ + " SELECT user_id, i, list_concat(t[greatest(i - 3, 0) + 1:i], t[i + 2:i + 4]) AS ctx FROM e WHERE i % 5 = 0")
+@query("WITH " + SEQ + " SELECT user_id, i, list_concat(t[greatest(i - 3, 0) + 1:i], t[i + 2:i + 4]) AS ctx FROM e")
 def anchor_window(t):
     e = sequences(t).select("user_id", "t", F.posexplode("t").alias("i", "_"))
-    return e.where("i % 5 = 0").select("user_id", F.col("i").cast("long").alias("i"), W.around("t", "i", "1", 3).alias("ctx"))
+    return e.select("user_id", F.col("i").cast("long").alias("i"), W.around("t", "i", "1", 3).alias("ctx"))
 
 
-@query("WITH " + SEQ + " SELECT user_id, i, t[greatest(i - 3, 0) + 1:i + 5] AS ctx FROM e WHERE i % 5 = 0")
+@query("WITH " + SEQ + " SELECT user_id, i, t[greatest(i - 3, 0) + 1:i + 5] AS ctx FROM e")
 def context_with_mention(t):
     e = sequences(t).select("user_id", "t", F.posexplode("t").alias("i", "_"))
-    return e.where("i % 5 = 0").select("user_id", F.col("i").cast("long").alias("i"), W.around("t", "i", "1", 3, 1, True).alias("ctx"))
+    return e.select("user_id", F.col("i").cast("long").alias("i"), W.around("t", "i", "1", 3, 1, True).alias("ctx"))
 
 
-@query("WITH " + SEQ + " SELECT user_id, i, list_concat(t[greatest(i - 5, 0) + 1:i], t[i + 2:i + 5]) AS ctx FROM e WHERE i % 5 = 0")
+@query("WITH " + SEQ + " SELECT user_id, i, list_concat(t[greatest(i - 5, 0) + 1:i], t[i + 2:i + 5]) AS ctx FROM e")
 def scws_window(t):
     e = sequences(t).select("user_id", "t", F.posexplode("t").alias("i", "_"))
-    return e.where("i % 5 = 0").select("user_id", F.col("i").cast("long").alias("i"), F.expr("concat(slice(t, greatest(i - 5, 0) + 1, least(i, 5)), slice(t, i + 2, 4))").alias("ctx"))
+    return e.select("user_id", F.col("i").cast("long").alias("i"), F.expr("concat(slice(t, greatest(i - 5, 0) + 1, least(i, 5)), slice(t, i + 2, 4))").alias("ctx"))
 
 
 @query("SELECT DISTINCT c_nationkey AS k FROM customer EXCEPT SELECT s_nationkey FROM supplier")

@@ -133,17 +133,3 @@ def hungarian(t):
     v = vecs(t).withColumn("pair", F.expr("id div 8"))
     part = lambda c: F.collect_list(F.when(c, F.col("vec")))
     return T.word_attention(v.groupBy("pair").agg(part(F.col("id") % 8 < 3).alias("left"), part(F.col("id") % 8 >= 3).alias("right")).where("size(left) > 0 and size(right) > 0"))
-
-
-@query()
-def train_skipgram_loss(t):
-    """The mean loss before and after some steps over the order-part graph."""
-    edges = t("lineitem").where("l_orderkey % 10 = 0").select(F.col("l_partkey").alias("src"), (F.col("l_orderkey") + 10_000_000).alias("dst")).distinct()
-    ids = edges.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    model, losses, config = T.initial(ids, 8), [], T.Config(dim=8, alpha=0.1, clip=0)
-    pairs = edges.withColumn("label", F.lit(1))
-    for k in range(3):
-        model, sums = T.train_step(pairs, model, config)
-        s = sums.where("side = 'vec'").agg(F.sum("loss").alias("l"), F.sum("n").alias("n")).first()
-        losses.append((k, s["l"] / s["n"]))
-    return t.spark.createDataFrame(losses, "epoch int, loss double")

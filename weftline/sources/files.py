@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PAGE = "id long, title string, ns int, redirect struct<_title: string>, revision struct<id: long, text: struct<_VALUE: string>>"
@@ -115,3 +115,50 @@ def write_text(df: DataFrame, path: str, compression: str | None = None, records
     w = df.select("value").write.mode("append")
     w = w.option("compression", compression) if compression else w
     (w.option("maxRecordsPerFile", records) if records else w).text(path)
+
+
+def cross_link_lines(links: DataFrame, languages: tuple[str, ...]) -> DataFrame:
+    """links: a column for each language. n, value: the number of rows, the languages, then the rows (n from 2, equal for all)."""
+    head = links.agg(F.count("*").cast("string").alias("value")).select(F.lit(0).alias("n"), "value")
+    names = head.select(F.lit(1).alias("n"), F.lit("\t".join(languages)).alias("value"))
+    rows = links.select(F.lit(2).alias("n"), F.concat_ws("\t", *[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in languages]).alias("value"))
+    return head.union(names).union(rows)
+
+
+def csv_lines(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows without a header; null is empty. write_text() appends them."""
+    return df.select(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).alias("value"))
+
+
+def candidate_lines(cands: DataFrame) -> DataFrame:
+    """mention, entity -> mention and its distinct entities in order; mentions of one character are left out."""
+    rows = cands.where("length(mention) > 1").groupBy("mention").agg(F.array_sort(F.collect_set(F.col("entity").cast("string"))).alias("e"))
+    return rows.select(F.concat_ws("\t", "mention", F.concat_ws("\t", "e")).alias("value"))
+
+
+def attention_lines(words: DataFrame) -> DataFrame:
+    """pair, k, word and the weights kg, w, combined -> one line a pair: word(kg\\w\\combined) in order."""
+    each = F.format_string("%s(%.5f\\%.5f\\%.5f)", "word", "kg", "w", "combined")
+    rows = words.withColumn("s", each).groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("k", "s"))).alias("x"))
+    return rows.select("pair", F.concat_ws(" ", F.col("x.s")).alias("value"))
+
+
+def running_totals(rows: DataFrame, key: str, value: str, width: int = 10_000) -> DataFrame:
+    """Adds before: the sum of value over all rows with smaller keys (distinct whole numbers). Sums go by ranges of `width`
+    keys, and a row for each range is all that one task sees of the whole."""
+    cell = rows.withColumn("_cell", F.floor(F.col(key) / width))
+    sums = cell.groupBy("_cell").agg(F.sum(value).alias("_s"))
+    earlier = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select("_cell", F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_base"))
+    local = Window.partitionBy("_cell").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    out = cell.withColumn("_local", F.coalesce(F.sum(value).over(local), F.lit(0))).join(bases, "_cell")
+    return out.withColumn("before", F.col("_base") + F.col("_local")).drop("_cell", "_local", "_base")
+
+
+def output_files(rows: DataFrame, key: str, size: str, most: int, per_folder: int = 100) -> DataFrame:
+    """Adds path: folders AA, AB, ... of `per_folder` files of about `most` bytes, in the order of key."""
+    file = F.floor(F.col("before") / most)
+    folder = F.floor(file / per_folder)
+    letter = lambda c: F.char(F.lit(65) + c % 26)
+    path = F.concat(letter(F.floor(folder / 26)), letter(folder), F.lit("/wiki_"), F.lpad((file % per_folder).cast("string"), 2, "0"))
+    return running_totals(rows, key, size).withColumn("path", path)

@@ -196,3 +196,54 @@ def mention_counts(df: DataFrame) -> DataFrame:
     f = F.split("value", "\t")
     each = df.select(f[0].alias("entity"), F.explode(F.slice(f, 3, 1 << 30)).alias("m"))
     return each.select("entity", F.regexp_extract("m", "^(.*)::=(\\d+)$", 1).alias("mention"), F.regexp_extract("m", "::=(\\d+)$", 1).cast("long").alias("cnt")).where("cnt is not null")
+
+
+def similarity_pairs(df: DataFrame, skip: int = 11) -> DataFrame:
+    """value: tag, two words, score, after `skip` lines (column n, from 0) -> lower-cased words and score."""
+    f = fields(F.col("value"))
+    rows = df.where((F.col("n") >= skip) & (F.size(f) == 4))
+    return rows.select("n", F.lower(f[1]).alias("w1"), F.lower(f[2]).alias("w2"), f[3].cast("double").alias("score"))
+
+
+def phrase_pairs(df: DataFrame) -> DataFrame:
+    """value: exactly two phrases -> lower-cased."""
+    f = fields(F.col("value"))
+    return df.where(F.size(f) == 2).select("n", F.lower(f[0]).alias("phrase1"), F.lower(f[1]).alias("phrase2"))
+
+
+def context_pairs(df: DataFrame) -> DataFrame:
+    """value: fields 5 and 6 are contexts with <b> before their target, field 7 the mean rating (counted from 0)."""
+    f = fields(F.lower("value"))
+    target = lambda c: F.regexp_extract(c, r"<b>\s*(\S+)", 1)
+    return df.where(F.size(f) > 7).select("n", f[5].alias("context1"), f[6].alias("context2"), target(f[5]).alias("w1"), target(f[6]).alias("w2"), f[7].cast("double").alias("score"))
+
+
+def related_pairs(df: DataFrame, vectors: DataFrame) -> DataFrame:
+    """value: query, cand, whole-number label, where both ids have vectors (id)."""
+    f = fields(F.col("value"))
+    rows = df.where((F.size(f) == 3) & f[2].rlike("^-?[0-9]+$")).select(f[0].alias("query"), f[1].alias("cand"), f[2].cast("int").alias("label"))
+    ids = vectors.select(F.col("id").cast("string").alias("id")).distinct()
+    return rows.join(ids.withColumnRenamed("id", "query"), "query", "left_semi").join(ids.withColumnRenamed("id", "cand"), "cand", "left_semi").select("query", "cand", "label")
+
+
+def kbp_xml(df: DataFrame, shift: int = 40) -> DataFrame:
+    """doc, value (a whole file: DOC/TEXT/SEG with ORIGINAL_TEXT) -> doc, start (less `shift`), text of the segments that
+    are no tag and no line of source or time."""
+    starts, texts = F.xpath("value", F.lit("DOC/TEXT/SEG/@start_char")), F.xpath("value", F.lit("DOC/TEXT/SEG/ORIGINAL_TEXT/text()"))
+    rows = df.select("doc", F.explode(F.arrays_zip(starts.alias("start"), texts.alias("text"))).alias("s"))
+    kept = rows.select("doc", (F.col("s.start").cast("long") - shift).alias("start"), F.col("s.text").alias("text"))
+    return kept.where("not text rlike '^\\\\s*(<.*>|(?i:source|time)\\\\s*:.*)\\\\s*$'")
+
+
+def corpus_files(df: DataFrame, gold: DataFrame) -> DataFrame:
+    """file, value: the lines of those files that have gold mentions; a file's document is its name without folders and ending."""
+    doc = F.regexp_extract("file", r"([^/]+?)(?:\.[A-Za-z0-9]+)?$", 1)
+    return df.withColumn("doc", doc).join(gold.select("doc").distinct(), "doc", "left_semi")
+
+
+def rdf_links(df: DataFrame, predicate: str, wanted: DataFrame | None = None) -> DataFrame:
+    """value: a triple of a knowledge base -> kb_id, wiki_id where the predicate's IRI ends so; wanted: wiki_id."""
+    triple = r"^<[^>]*/(?:ns/)?([^/>]+)>\s+<[^>]*" + predicate + r">\s+\"([0-9]+)\""
+    rows = df.select(F.regexp_extract("value", triple, 1).alias("kb_id"), F.regexp_extract("value", triple, 2).alias("wiki_id")).where("kb_id <> ''")
+    rows = rows.select("kb_id", F.col("wiki_id").cast("long").alias("wiki_id"))
+    return rows if wanted is None else rows.join(wanted, "wiki_id", "left_semi").select("kb_id", "wiki_id")
