@@ -38,7 +38,9 @@ from .common import binaries, blocks, mix, spread, stage, strings, table, tidy,
 from .language_id import held_out
 
 CHUNK = 1 << 22
-OWN, HASHED, FEATURES, ROUNDS, BATCH = 15, 1 << 13, 4, 2, 1 << 16
+OWN, HASHED, FEATURES, ROUNDS = 15, 1 << 13, 4, 2
+#: Tokens whose scores of all classes are held at once: they fit a core's cache.
+BATCH = 1 << 13
 CLASSES = 2 + 2 * OWN  # the end token, frequent words, words near to each of these, other words
 #: Slots that remember which frequent word a word is near to, in how many blocks, and how far near is.
 SLOTS, BLOCKS, NEAR = 1 << 20, 64, 3
@@ -134,7 +136,7 @@ class Features:
     def of(self, hashes: np.ndarray, classes: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The feature numbers of each token: all words of all texts, and an end after each text."""
         one, two = _before(hashes, first, _START, _START, (1, 2))
-        c = [x.astype(np.uint64) + np.uint64(1) for x in _before(classes, first, CLASSES, 0, (1, 2, 3, 4, 5, 6))]
+        c = [x.astype(np.uint64) + np.uint64(1) for x in _before(classes.astype(np.uint8), first, CLASSES, 0, (1, 2, 3, 4, 5, 6))]
         number = np.empty((len(one), FEATURES), np.int64)
         for k, h in enumerate((one, mix(one * _ODD + two), (c[0] << np.uint64(16)) + (c[1] << np.uint64(8)) + c[2], (c[3] << np.uint64(16)) + (c[4] << np.uint64(8)) + c[5])):
             number[:, k] = (mix(h * _ODD + np.uint64(k + 11)) % np.uint64(HASHED)).astype(np.int64) + k * HASHED
@@ -166,10 +168,12 @@ def gradient(weights: np.ndarray, number: np.ndarray, target: np.ndarray, out: n
     """Adds to out what is observed of each feature and class, less what the weights expect."""
     for a in range(0, len(target), BATCH):
         some, t = number[a : a + BATCH], target[a : a + BATCH]
-        g = -np.exp(log_softmax(weights, some))
+        g = log_softmax(weights, some)
+        np.exp(g, out=g)
+        np.negative(g, out=g)
         g[np.arange(len(t)), t] += 1
         for k in range(some.shape[1]):
-            order = np.argsort(some[:, k], kind="stable")
+            order = np.argsort((some[:, k] - k * HASHED).astype(np.uint16), kind="stable")  # sorted by radix
             rows = some[order, k]
             at = np.flatnonzero(np.diff(rows, prepend=-1))
             out[rows[at]] += np.add.reduceat(g[order], at, axis=0)
