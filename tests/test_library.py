@@ -1,15 +1,19 @@
 """Golden values, invariants, and every query against its SQL on the smallest tables."""
 
+import ast
 import decimal
 import itertools
 import math
+from datetime import datetime
 
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftline.functions import markup, text, vectors
+from weftline.functions import calls, markup, text, vectors
 from weftline.operators import neighbours, ranking, training, vocabulary
 from weftline.plans import catalogue
 from weftline.sources import files, lines
@@ -127,6 +131,53 @@ def test_templates_of_many_parameters():
     assert t.expand("{{deep}}{{deep|a=b}}") == "xb"
 
 
+def test_expressions():
+    cases = {
+        "1 + 2 * 3": "7", "(1 + 2) * 3": "9", "7 / 2": "3.5", "4 / 2": "2", "2 ^ 3 ^ 2": "64", "-2 ^ 2": "4", "- 8 mod 3": "-2", "9.876 round 2": "9.88", "-2.5 round 0": "-3",
+        "1 = 1 and 2 <> 3": "1", "not 1 or 0": "0", "3 >= 4": "0", "abs -3 + ceil 1.2": "5", "1/3": "0.33333333333333", "2 * pi": "6.2831853071796", " ": "", "10 - 3 - 2": "5", "1e3": None,
+        "1 / 0": None, "2 +": None, "(1": None, "9 ^ 9999": None, "__import__('os')": None, "1 2": None, "(" * 5000: None, "sqrt -1": None, "5 mod 0": None,
+    }
+    for text, value in cases.items():
+        assert calls.expression(text) == (f'<span class="error">{text.strip()}</span>' if value is None else value), text
+
+
+@given(st.recursive(st.integers(0, 50).map(str), lambda x: st.tuples(x, st.sampled_from("+-*"), x).map(lambda t: f"({t[0]} {t[1]} {t[2]})"), max_leaves=12))
+def test_expressions_of_whole_numbers(text):
+    assert calls.expression(text) == str(ast_value(text))
+
+
+def ast_value(text):
+    def value(node):
+        if isinstance(node, ast.Constant):
+            return node.value
+        a, b = value(node.left), value(node.right)
+        return a + b if isinstance(node.op, ast.Add) else a - b if isinstance(node.op, ast.Sub) else a * b
+
+    return value(ast.parse(text, mode="eval").body)
+
+
+def test_text_modules():
+    def s(f, *a, **k):
+        return calls.invoke("String", f, {str(i): x for i, x in enumerate(a, 1)} | k)
+
+    assert [s("len", "abc"), s("len", s="abcd"), s("len")] == ["3", "4", "0"]
+    assert [s("sub", "abcdef", "2", "4"), s("sub", "abcdef", "-3"), s("sub", "abcdef", "2", "-2"), s("sublength", "abcdef", "3", "2")] == ["bcd", "def", "bcde", "cd"]
+    assert [s("pos", "abc", "2"), s("pos", "abc", "-1"), s("pos", "abc", "9"), s("rep", "ab", "3"), s("rep", "ab", "9999999")] == ["b", "c", "", "ababab", ""]
+    assert [s("find", "banana", "an"), s("find", "banana", "an", "3"), s("find", "banana", "[n]a$", plain="false"), s("find", "", "x")] == ["2", "4", "5", "0"]
+    assert [s("replace", "a.b.c", ".", "-"), s("replace", "a.b.c", ".", "-", "1"), s("replace", "ab", "[", "x", plain="no")] == ["a-b-c", "a-b.c", ""]
+    assert [calls.invoke("Roman", "main", {"1": x}) for x in ("1994", "0", "5000", "x")] == ["MCMXCIV", "", "N/A", ""]
+    assert calls.invoke("If empty", "main", {"1": "", "2": "b"}) == "b" and calls.invoke("none", "main", {}) == ""
+    assert calls.invoke("convert", "convert", {"1": "5", "2": "km"}) == "5 km"
+
+
+def test_calls_in_templates():
+    t = markup.Templates({"If empty": "{{#invoke:If empty|main}}", "Alias": "#REDIRECT [[Template:Real]]", "real": "<{{{1}}}>", "A": "#redirect [[B]]", "B": "#redirect [[A]]"})
+    assert t.expand("{{if empty||b}} {{alias|x}} [{{a}}] {{#iferror:{{#expr:1/0}}|bad|good}} {{real|{{#switch:q|q=r}}}}") == "b <x> [] bad <r>"
+    words = calls.page_words("Help:Top/Mid/Low", {"Help": "12"}, datetime(2020, 3, 4, 5, 6, 7))
+    assert t.page("{{PAGENAME}} {{NAMESPACE}} {{NAMESPACENUMBER}} {{BASEPAGENAME}} {{SUBPAGENAME}} {{ROOTPAGENAME}} {{CURRENTTIME}}{{!}}", words) == "Top/Mid/Low Help 12 Top/Mid Low Top 05:06:07|"
+    assert calls.page_words("a: b", {"Help": "12"}, datetime(2020, 1, 1))["PAGENAME"] == "a: b" and t.expand("{{PAGENAME}}") == ""
+
+
 def test_vector_files(spark, tmp_path):
     draw = np.random.default_rng(2)
     rows = [(f"w{i}", [draw.random(4).astype("f4"), draw.random(4).astype("f4")]) for i in range(5)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import html
 import re
 from collections.abc import Callable, Iterator
@@ -10,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .calls import expression, invoke, roman
+
 #: Elements whose content goes with them, and elements of which the content stays.
 DISCARDED = ("gallery", "timeline", "noinclude", "pre", "table", "tr", "td", "th", "caption", "div", "form", "input", "select", "option", "textarea", "ul", "li", "ol", "dl", "dt", "dd", "menu", "dir", "ref", "references", "img", "imagemap", "source", "small", "sub", "sup", "indicator")
 IGNORED = ("abbr", "b", "big", "blockquote", "center", "cite", "em", "font", "h1", "h2", "h3", "h4", "hiero", "i", "kbd", "nowiki", "p", "plaintext", "s", "span", "strike", "strong", "tt", "u", "var")
@@ -129,10 +132,28 @@ def compact(text: str, headings: bool = False, lists: bool = False) -> list[str]
 
 
 class Templates:
-    """Expansion of {{name|...}} with parameters {{{x|default}}}, to a bounded depth; pure text, nothing is evaluated."""
+    """Expansion of {{name|...}} with parameters {{{x|default}}}, to a bounded depth; no code runs. A body may be a
+    redirection to another template."""
 
     def __init__(self, bodies: dict[str, str]):
         self.bodies = {self.key(k): self.included(v) for k, v in bodies.items()}
+        self.words: dict[str, str] = {}
+
+    def page(self, text: str, words: dict[str, str]) -> str:
+        """expand(), with the words that stand for the page or the time."""
+        own = copy.copy(self)
+        own.words = words
+        return own.expand(text)
+
+    def body(self, name: str) -> str | None:
+        """The body under a name, over redirections."""
+        for _ in range(DEEPEST):
+            found = self.bodies.get(self.key(name))
+            to = re.match(r"(?i)\s*#redirect\w*\s*:?\s*\[\[(?:[^\[\]|:]*:)?([^\[\]|#]+)", found or "")
+            if not to:
+                return found
+            name = to[1]
+        return None
 
     @staticmethod
     def key(name: str) -> str:
@@ -146,13 +167,14 @@ class Templates:
         body = "".join(only) if only else re.sub(r"(?s)<noinclude>.*?(?:</noinclude>|\Z)", "", body)
         return re.sub(r"</?includeonly>", "", body)
 
-    def expand(self, text: str, values: dict[str, str] | None = None, depth: int = 0) -> str:
+    def expand(self, text: str, values: dict[str, str] | None = None, depth: int = 0, within: tuple = ()) -> str:
+        """within: names and values of the templates around, the innermost last."""
         if depth > DEEPEST:
             return ""
         text = self._parameters(text, values or {}, depth)
         out, at = [], 0
         for a, b in balanced(text, (("{{", "}}"),)):
-            out += [text[at:a], self._call(text[a + 2 : b - 2], depth)]
+            out += [text[at:a], self._call(text[a + 2 : b - 2], depth, within)]
             at = b
         return "".join(out) + text[at:]
 
@@ -172,22 +194,45 @@ class Templates:
         cuts = [i for i, c in enumerate(text) if c == "|" and not any(a <= i < b for a, b in inside)]
         return [text[a:b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(text)])]
 
-    def _call(self, inner: str, depth: int) -> str:
+    def _call(self, inner: str, depth: int, within: tuple = ()) -> str:
+        def e(t: str) -> str:
+            return self.expand(t, None, depth + 1, within)
+
         name, *given = self.parts(inner)
-        name = self.expand(name, None, depth + 1).strip()
+        name = e(name).strip()
+        if name in self.words:
+            return self.words[name]
         if name.lower().startswith("subst:"):
             name = name[6:]
         head, colon, first = name.partition(":")
+        if colon and head.strip().lower() == "#invoke":
+            return self._invoke(first, given, e, within)
         if colon and (f := FUNCTIONS.get(head.strip().lower())):
-            return f([first, *given], lambda t: self.expand(t, None, depth + 1).strip())
-        body = self.bodies.get(self.key(name))
+            return f([first, *given], lambda t: e(t).strip())
+        body = self.body(name)
         if body is None:
             return ""
+        values = self.values(given, e)
+        return self.expand(body, values, depth + 1, (*within, (self.key(name), values)))
+
+    @staticmethod
+    def values(given: list[str], e: Callable[[str], str]) -> dict[str, str]:
+        """Arguments by name, or by their number among those without one."""
         values: dict[str, str] = {}
-        for i, g in enumerate(given, 1):
-            k, equals, v = g.partition("=")
-            values[k.strip() if equals else str(i)] = self.expand(v.strip() if equals else g, None, depth + 1)
-        return self.expand(body, values, depth + 1)
+        n = 0
+        for g in given:
+            inside = balanced(g, (("[[", "]]"), ("{{", "}}")))
+            at = next((i for i, c in enumerate(g) if c == "=" and not any(a <= i < b for a, b in inside)), -1)
+            n += at < 0
+            values[str(n) if at < 0 else g[:at].strip()] = e(g if at < 0 else g[at + 1 :].strip())
+        return values
+
+    def _invoke(self, module: str, given: list[str], e: Callable[[str], str], within: tuple) -> str:
+        """A text module; without arguments of its own it has those of the template around that bears its name."""
+        if not given:
+            return ""
+        own = self.values(given[1:], e) if given[1:] else next((v for k, v in reversed(within) if k == self.key(module)), {})
+        return invoke(module, e(given[0]), own)
 
 
 def _switch(a: list[str], e: Callable[[str], str]) -> str:
@@ -208,8 +253,9 @@ def _get(a: list[str], i: int) -> str:
     return a[i] if i < len(a) else ""
 
 
-#: Parser functions. #expr, #time and the like are left out: they give an empty text.
+#: Parser functions, #invoke apart. #time and the like are left out: they give an empty text.
 FUNCTIONS: dict[str, Callable[[list[str], Callable[[str], str]], str]] = {
+    "#expr": lambda a, e: expression(e(a[0])),
     "#if": lambda a, e: e(_get(a, 1 if e(a[0]) else 2)),
     "#ifeq": lambda a, e: e(_get(a, 2 if e(a[0]) == e(_get(a, 1)) else 3)),
     "#iferror": lambda a, e: e(_get(a, 1)) if 'class="error"' in e(a[0]) else e(_get(a, 2) if len(a) > 2 else a[0]),
@@ -224,17 +270,6 @@ FUNCTIONS: dict[str, Callable[[list[str], Callable[[str], str]], str]] = {
 }
 
 
-def roman(n: int) -> str:
-    """Roman numerals of 1 to 4999; other numbers stay."""
-    if not 0 < n < 5000:
-        return str(n)
-    out = ""
-    for value, sign in ((1000, "M"), (900, "CM"), (500, "D"), (400, "CD"), (100, "C"), (90, "XC"), (50, "L"), (40, "XL"), (10, "X"), (9, "IX"), (5, "V"), (4, "IV"), (1, "I")):
-        out += sign * (n // value)
-        n %= value
-    return out
-
-
 def mapped(df, column: str, f: Callable[[str], str], name: str):
     """df with `name`: f of a string column, in Arrow batches; null stays null."""
 

@@ -50,6 +50,19 @@ def template_expansion(t):
     return M.mapped(t("part").select("p_partkey", raw.alias("raw")), "raw", body.expand, "text").select("p_partkey", "text")
 
 
+@query("""SELECT p_partkey, CAST(p_size * 2 + 1 AS VARCHAR) || ';' || CAST(p_size % 7 AS VARCHAR) || ';' || CASE WHEN p_size > 25 AND p_size < 40 THEN '1' ELSE '0' END AS sums,
+  substr(p_name, 2, 4) || ';' || length(p_type) || ';' || replace(p_type, ' ', '-') || ';' || strpos(p_type, 'S') || ';' || CASE WHEN p_size = 4 THEN 'IV' ELSE '-' END AS texts FROM part""")
+def template_calls(t):
+    body = M.Templates({
+        "sums": "{{#expr:{{{1}}} * 2 + 1}};{{#expr:{{{1}}} mod 7}};{{#expr:{{{1}}} > 25 and {{{1}}} < 40}}",
+        "Texts": "#REDIRECT [[Template:Strings]]",
+        "strings": "{{#invoke:String|sub|{{{1}}}|2|5}};{{#invoke:String|len|s={{{2}}}}};{{#invoke:String|replace|{{{2}}}| |-}};{{#invoke:String|find|{{{2}}}|S}};{{#ifeq:{{{3}}}|4|{{#invoke:Roman|main|{{{3}}}}}|-}}",
+    })
+    p = t("part").withColumn("raw", F.concat_ws("|", F.lit("{{sums"), "p_size").cast("string")).withColumn("other", F.concat_ws("|", F.lit("{{texts"), "p_name", "p_type", "p_size"))
+    p = p.select("p_partkey", F.concat("raw", F.lit("}}")).alias("raw"), F.concat("other", F.lit("}}")).alias("other"))
+    return M.mapped(M.mapped(p, "raw", body.expand, "sums"), "other", body.expand, "texts").select("p_partkey", "sums", "texts")
+
+
 @query("SELECT p_partkey, '[[' || p_partkey || '|' || p_type || ']] and ' || p_brand AS text FROM part")
 def anchor_ids(t):
     p = t("part")
