@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text, vectors
@@ -32,15 +32,43 @@ def over_document_maximum(rows: DataFrame, doc: str, value: str) -> DataFrame:
     return rows.withColumn("largest", largest).withColumn(value, F.when(F.col("largest") > 0, F.col(value) / F.col("largest")).otherwise(F.col(value)))
 
 
-def pair_features(rows: DataFrame) -> DataFrame:
-    """rows: mention, label, mention_vec, context_vec, entity_vec, centre (and others). Adds string features and similarities."""
-    sims = [
-        vectors.scaled_cosine(F.col("mention_vec"), F.col("entity_vec")).alias("esim"),
-        vectors.scaled_cosine(F.col("context_vec"), F.col("centre")).alias("csim_centre"),
-        vectors.scaled_cosine(F.col("context_vec"), F.col("entity_vec")).alias("csim_entity"),
-    ]
-    edit = text.edit_similarity(F.lower("mention"), F.lower("label")).alias("edit")
-    return rows.select("*", edit, *text.string_features(F.col("mention"), F.col("label")), *sims)
+#: What each similarity compares. `own` vectors are of the mention's language, the others of the knowledge base's.
+SIMILARITIES = {
+    "esim1": ("trans", "sense"), "esim2": ("own_word", "own_sense"), "esim3": ("own_word", "sense"), "esim4": ("trans", "label"), "esim5": ("own_word", "own_label"), "esim6": ("own_word", "label"),
+    "csim1": ("context", "centre"), "csim3": ("context", "own_centre"), "csim4": ("context", "sense"), "csim5": ("context", "label"), "csim6": ("context", "own_sense"), "csim7": ("context", "own_label"),
+}
+#: These are weighted by how near the mention is to its translation.
+TRANSLATED = ("esim1", "esim4")
+
+
+def similarities(rows: DataFrame, foreign: Column) -> DataFrame:
+    """rows: own_word and trans (the mention and its translation), sense, centre and label (of the candidate; centre: of its contexts), own_sense,
+    own_centre and own_label (the same in the mention's language), context: arrays, null where there is none. Adds the twelve similarities of
+    mention and candidate. What lacks a vector is 0; so is all that takes vectors of the mention's own language where that is
+    the knowledge base's (foreign is false), and with it what is weighted by translation."""
+
+    def vec(name: str) -> Column:
+        return F.when(foreign, F.col(name)) if name.startswith("own_") else F.col(name)
+
+    near = vectors.scaled_cosine(vec("own_word"), vec("trans"))
+    found = {name: vectors.scaled_cosine(vec(a), vec(b)) for name, (a, b) in SIMILARITIES.items()}
+    return rows.select("*", *[(near * s if name in TRANSLATED else s).alias(name) for name, s in found.items()])
+
+
+def sure(cands: DataFrame, least: float = 0.95) -> DataFrame:
+    """The context of a first round: candidates (doc, entity, pem, vec) that their mention nearly always means."""
+    return cands.where(F.col("pem") > least).select("doc", "entity", "vec")
+
+
+def feature_vector(cands: DataFrame, context: DataFrame, foreign: Column, digits: int = 12) -> DataFrame:
+    """cands: doc, mention_id, entity, vec and what similarities() takes; context: doc, entity, vec. All fourteen similarities (csim2 and csim8 are
+    the largest and mean one to the document's context), and the rank of each among the mention's candidates: `erank1` and so on.
+    Similarities that are equal to that many digits share a rank."""
+    near = coherence(cands, context).withColumnsRenamed({"csim_max": "csim2", "csim_mean": "csim8"})
+    names = [*[f"esim{i}" for i in range(1, 7)], *[f"csim{i}" for i in range(1, 9)]]
+    keys = ["doc", "mention_id"]
+    rows = similarities(cands, foreign).join(near, [*keys, "entity"]).withColumns({n: F.round(n, digits) for n in names})
+    return candidate_ranks(rows, keys, names).withColumnsRenamed({f"{n}_rank": n.replace("sim", "rank") for n in names})
 
 
 def coherence(cands: DataFrame, context: DataFrame) -> DataFrame:

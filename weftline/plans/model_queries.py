@@ -94,6 +94,38 @@ def entity_coherence(t):
     return out.select("doc", "entity", F.round("csim_max", 6).alias("csim_max"), F.round("csim_mean", 6).alias("csim_mean"))
 
 
+_COMPARED = {"esim2": ("v", "own_sense"), "esim3": ("v", "sense"), "esim5": ("v", "own_label"), "esim6": ("v", "label")} | {k: v for k, v in K.SIMILARITIES.items() if k[0] == "c"}
+_NAMES = [f"esim{i}" for i in range(1, 7)] + [f"csim{i}" for i in range(1, 9)]
+
+
+def _near(a: str, b: str) -> str:
+    return f"(list_cosine_similarity({a}, {b}) + 1) / 2"
+
+
+def _foreign(a: str, b: str) -> str:
+    """SQL of a scaled cosine; 0 where a vector is missing."""
+    own = a == "v" or b.startswith("own_")
+    return f"CASE WHEN r.id % 2 = 0{' AND r.id % 5 > 0' if b == 'own_sense' else ''} THEN {_near(a, b)} ELSE 0 END" if own else _near(a, b)
+
+
+@query("WITH " + E_ + """, r AS (SELECT id // 12 AS doc, id // 3 AS mention_id, id, v, list_reverse(v) AS trans, [abs(x) FOR x IN v] AS label, [x + 0.1 FOR x IN v] AS sense, [x * x FOR x IN v] AS centre,
+  [x - 0.2 FOR x IN v] AS own_sense, [x * x - 0.1 FOR x IN v] AS own_centre, [abs(x) + 0.1 FOR x IN v] AS own_label, [x * abs(x) FOR x IN list_reverse(v)] AS context FROM e),
+  c AS (SELECT r.id, max(""" + _near("r.v", "o.v") + ") AS m, avg(" + _near("r.v", "o.v") + """) AS a FROM r JOIN r o ON o.doc = r.doc AND o.id % 4 = 0 GROUP BY r.id),
+  s AS (SELECT doc, mention_id, r.id AS entity, round(CASE WHEN r.id % 2 = 0 THEN """ + _near("v", "trans") + " * " + _near("trans", "sense") + " ELSE 0 END, 9) AS esim1, round(CASE WHEN r.id % 2 = 0 THEN " + _near("v", "trans") + " * " + _near("trans", "label") + """ ELSE 0 END, 9) AS esim4,
+  """ + ", ".join(f"round({_foreign(a, b)}, 9) AS {n}" for n, (a, b) in _COMPARED.items()) + """, round(coalesce(m, 0), 9) AS csim2, round(coalesce(a, 0), 9) AS csim8 FROM r LEFT JOIN c ON c.id = r.id)
+  SELECT doc, mention_id, entity, """ + ", ".join(f"{n}, rank() OVER (PARTITION BY doc, mention_id ORDER BY {n} DESC) AS {n.replace('sim', 'rank')}" for n in _NAMES) + " FROM s")
+def link_features(t):
+    v = F.transform("vec", lambda x: x.cast("double"))
+    each = lambda f: F.transform("vec", f)
+    rows = vecs(t).select("id", v.alias("vec")).select(
+        F.expr("id div 12").alias("doc"), F.expr("id div 3").alias("mention_id"), F.col("id").alias("entity"), "vec", F.when(F.col("id") % 4 == 0, 0.99).otherwise(0.5).alias("pem"), F.col("vec").alias("own_word"), F.reverse("vec").alias("trans"),
+        each(F.abs).alias("label"), each(lambda x: x + 0.1).alias("sense"), each(lambda x: x * x).alias("centre"), F.when(F.col("id") % 5 > 0, each(lambda x: x - 0.2)).alias("own_sense"),
+        each(lambda x: x * x - 0.1).alias("own_centre"), each(lambda x: F.abs(x) + 0.1).alias("own_label"), F.reverse(each(lambda x: x * F.abs(x))).alias("context"),
+    )
+    out = K.feature_vector(rows, K.sure(rows), F.col("entity") % 2 == 0, 9)
+    return out.select("doc", "mention_id", "entity", *_NAMES, *[n.replace("sim", "rank") for n in _NAMES])
+
+
 @query()
 def greedy_links(t):
     v = vecs(t)
