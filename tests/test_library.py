@@ -13,7 +13,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from weftline.functions import calls, markup, text, vectors
+from weftline.functions import calls, markup, text, tokenizer, vectors
 from weftline.operators import neighbours, ranking, training, vocabulary
 from weftline.plans import catalogue
 from weftline.sources import files, lines
@@ -178,6 +178,21 @@ def test_calls_in_templates():
     assert calls.page_words("a: b", {"Help": "12"}, datetime(2020, 1, 1))["PAGENAME"] == "a: b" and t.expand("{{PAGENAME}}") == ""
 
 
+def test_anchors_over_tokens():
+    run = tokenizer.token_anchors
+    assert run("The [[Big Cat|big cats]]' 12.5% of [[x]]-[[y|]] İ [[z|...]]!") == "the [[Big Cat|big cats]] dddddd of [[x|x]] İ"
+    assert run("[[a|b]][[c|d]] [[e|f g]]", entity={"a": "1", "e": "2"}.get) == "[[1|bd]] [[2|f g]]"
+    assert run("") == "" and run("no, anchors") == "no anchors"
+    stems = lambda text: ((w, a, b, w.rstrip("s")) for w, a, b, _ in tokenizer.words_and_signs(text))
+    assert run("Cats and [[Dog|dogs]]", stems) == "cat and [[Dog|dog]]"
+
+
+def test_tokenized(spark):
+    rows = spark.createDataFrame([(1, "it's über-good: 5"), (2, None), (3, "")], "id int, `a b` string")
+    got = {r["id"]: r["tokens"] for r in tokenizer.tokenized(rows, "a b").collect()}
+    assert [(x.word, x.start, x.end) for x in got[1]] == [("it's", 0, 4), ("über-good", 5, 14), (":", 14, 15), ("5", 16, 17)] and got[2] is None and got[3] == []
+
+
 def test_vector_files(spark, tmp_path):
     draw = np.random.default_rng(2)
     rows = [(f"w{i}", [draw.random(4).astype("f4"), draw.random(4).astype("f4")]) for i in range(5)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftline.functions import markup as M
+from weftline.functions import tokenizer as Z
 from weftline.operators import linking as K
 from weftline.operators import training as T
 
@@ -75,6 +76,20 @@ def anchor_ids(t):
     return M.mapped(raw, "raw", lambda x: M.resolved_anchors(x, Ids(), {}), "text").select("p_partkey", "text")
 
 
+@query(f"""WITH w AS (SELECT doc_id, regexp_extract_all(text, '{Z.WORD.replace("'", "''")}') AS w FROM documents)
+  SELECT doc_id, len(w) AS n, length(array_to_string(w, '')) AS n_chars, w[1] AS first, w[-1] AS last FROM w""")
+def word_tokens(t):
+    out = Z.tokenized(t("documents").select("doc_id", "text"), "text")
+    lengths = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
+    return out.select("doc_id", F.size("tokens").cast("long").alias("n"), lengths.alias("n_chars"), F.get("tokens.word", F.lit(0)).alias("first"), F.try_element_at("tokens.lemma", F.lit(-1)).alias("last"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN '[[e1|' || lower(p_type) || ']]' ELSE lower(p_type) END || ' of dddddd ' || lower(p_name) AS text FROM part")
+def anchor_tokens(t):
+    raw = F.concat(F.when(F.col("p_size") > 25, "[[Thing|").otherwise("[[Nothing|"), "p_type", F.lit("]], of 1,200 "), "p_name", F.lit(" !"))
+    return M.mapped(t("part").select("p_partkey", raw.alias("raw")), "raw", lambda x: Z.token_anchors(x, entity={"Thing": "e1"}.get), "text").select("p_partkey", "text")
+
+
 @query("WITH " + COUNTED + """, p AS (SELECT entity, mention, cnt / sum(cnt) OVER (PARTITION BY mention) AS pem, cnt FROM c)
   SELECT entity, mention, rank() OVER (PARTITION BY mention ORDER BY round(pem, 9) DESC) AS pem_rank, rank() OVER (PARTITION BY mention ORDER BY cnt DESC) AS cnt_rank, round(cnt / max(cnt) OVER (PARTITION BY mention), 6) AS share FROM p""")
 def link_ranks(t):
