@@ -3,11 +3,14 @@
 import collections
 import random
 import re
+import types
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from weftline.llm import mixing, near_dedup
+from weftline.llm import language_id, mixing, near_dedup
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, whole string, lang_pred string, segments long"
 WORD = "[^\x20\x09-\x0d]+"
@@ -39,6 +42,24 @@ def test_language_id_keeps_what_has_letters(spark, docs):
     assert collections.Counter(map(tuple, got.collect())) == collections.Counter(want)
 
 
+def test_language_id_sends_a_text_once_and_returns_blocks(spark, docs, monkeypatch):
+    """What a task holds doesn't grow with copies of the texts or with a batch's results."""
+    schemas, kind = [], type(docs)
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema, *a, run=kind.mapInArrow, **b: schemas.append((self.schema.simpleString(), schema)) or run(self, f, schema, *a, **b))
+    corpus_pipeline.identify_language(spark, docs, "")
+    assert len(schemas) == 1 and all(len(re.findall(r"\btext\b", x)) == 1 for x in schemas[0])
+
+    pieces = language_id.pieces_of(language_id.default_vocabulary()).pieces
+    chances = np.append(np.full((len(pieces), 2), 1 / len(pieces)), np.zeros((1, 2)), axis=0)
+    held = types.SimpleNamespace(value=language_id.Model(language_id.default_vocabulary(), ["de", "en"], chances, np.zeros(2)))
+    texts = ["some words " * 9000, None, "", "1 2", "x y " * 400_000] * 8
+    batch = pa.record_batch({"doc_id": list(range(40)), "text": texts, "rest": [{"_": i} for i in range(40)]})
+    out = list(language_id._predictor(held, "blocks")(iter([batch])))
+    assert len(out) > 8 and all(len(b) == 1 or sum(len(t or "") for t in b["text"].to_pylist()) <= language_id.BLOCK for b in out)
+    found = [(r["doc_id"], r["text"], r["lang_pred"], r["rest"]["_"]) for b in out for r in b.to_pylist()]
+    assert found == [(i, t, "de" if i % 5 in (0, 4) else "und", i) for i, t in enumerate(texts)]
+
+
 def test_line_dedup(spark, docs):
     got = corpus_pipeline.dedup_lines(spark, docs, "")
     assert got.columns == docs.columns

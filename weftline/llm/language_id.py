@@ -32,6 +32,8 @@ from .common import Slots, blocks, mix, sample_by, stage, strings, table, tidy,
 
 PER_LANGUAGE = 1500
 ROUNDS, LONGEST, UNKNOWN, REMEMBER = 3, 48, 1e-9, 400_000
+#: Bytes of text that are scored, and go back to Spark, at once; a longer text is a block of its own.
+BLOCK = 1 << 20
 #: What chances are multiplied by for each character: an unknown character's is small, and LONGEST of them still more than 0.
 SCALE = 1e3
 MARK = "▁"
@@ -287,32 +289,31 @@ def _predictor(held, name: str):
         scorer = _Scorer.of(name, held)
         for batch in batches:
             data, offsets = strings(batch["text"])
-            names, best = [], []
-            for i, j in blocks(offsets):
+            for i, j in blocks(offsets, BLOCK):  # each goes out by itself, so that neither side holds a whole batch's results
                 part, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                lettered = _lettered(part, at)
-                if not scorer.model.languages:
-                    names += ["und"] * (j - i)
-                    best += [0.0] * (j - i)
-                    continue
-                total = scorer.score(part, at) + scorer.model.prior
-                top = total.argmax(axis=1)
-                chance = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                names += [scorer.model.languages[t] if ok else "und" for t, ok in zip(top, lettered)]
-                best += np.where(lettered, chance, 0.0).tolist()
-            yield pa.record_batch([batch["doc_id"], pa.array(names, pa.string()), pa.array(best, pa.float64()), batch["rest"]], names=["doc_id", "lang_pred", "score", "rest"])
+                names, best = ["und"] * (j - i), np.zeros(j - i)
+                if scorer.model.languages:
+                    lettered = _lettered(part, at)
+                    total = scorer.score(part, at) + scorer.model.prior
+                    top = total.argmax(axis=1)
+                    chance = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+                    names = [scorer.model.languages[t] if ok else "und" for t, ok in zip(top, lettered)]
+                    best = np.where(lettered, chance, 0.0)
+                some = batch.slice(i, j - i)
+                yield pa.record_batch([some["doc_id"], some["text"], pa.array(names, pa.string()), pa.array(best, pa.float64()), some["rest"]], names=["doc_id", "text", "lang_pred", "score", "rest"])
 
     return tidy(predict)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs: doc_id, text and any others. Out: the same rows with lang_pred and score; a row's own lang isn't read."""
+    """docs: doc_id, text and any others. Out: the same rows with lang_pred and score; a row's own lang isn't read.
+    A row's text goes to Python and back once."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c not in ("doc_id", "lang_pred", "score")]
-    rows = docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_")).alias("rest"))
+    rows = docs.select("doc_id", "text", F.struct(*[c for c in others if c != "text"], F.lit(0).alias("_")).alias("rest"))
     kind = rows.schema["rest"].dataType.simpleString()
-    out = rows.mapInArrow(_predictor(held, uuid.uuid4().hex), f"doc_id long, lang_pred string, score double, rest {kind}")
-    return out.select("doc_id", "lang_pred", "score", *[F.col(f"rest.{c}").alias(c) for c in others])
+    out = rows.mapInArrow(_predictor(held, uuid.uuid4().hex), f"doc_id long, text string, lang_pred string, score double, rest {kind}")
+    return out.select("doc_id", "lang_pred", "score", *["text" if c == "text" else F.col(f"rest.{c}").alias(c) for c in others])
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
