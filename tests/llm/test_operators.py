@@ -6,9 +6,11 @@ import json
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from weftline.llm import audio, common, exact_dedup, language_id, line_dedup, lm, mixing, near_dedup, packing, registry, secrets, tokens, toxicity
@@ -480,6 +482,29 @@ def test_the_audio_query_equals_brute_force(spark, tmp_path):
     assert members.collect() == [] and matches.collect() == []
 
 
+def test_audio_is_not_held_by_the_batch(spark, tmp_path, monkeypatch):
+    """The query sends no recording through Spark, and of a batch of clips one is a Python object at a time."""
+    draw, inputs = np.random.default_rng(7), []
+    vectors = spark.createDataFrame([(i, draw.normal(0, 1, 64).tolist()) for i in range(6)], "vec_id long, embedding array<double>")
+    vectors.write.parquet(str(tmp_path / "embeddings.parquet"))
+    kind = type(vectors)
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, schema, *a, run=kind.mapInArrow, **b: inputs.append((dict(self.dtypes), schema)) or run(self, f, schema, *a, **b))
+    out = audio.op6_audio(spark, str(tmp_path)).collect()
+    assert len(out) == 6 and inputs and all(x.get("audio") != "binary" and "audio binary" not in schema for x, schema in inputs)
+
+    clips = [audio.recording(draw.normal(0, 1, 64)) for _ in range(3)] * 50
+    batch = pa.record_batch({"id": list(range(150)), "audio": pa.array(clips, pa.binary())})
+    want = [audio.fingerprint(*audio.from_wav(c)).tobytes() for c in clips[:3]] * 50
+    del clips
+    tracemalloc.start()
+    try:
+        found = [r for b in audio._printer(None)(iter([batch])) for r in b["print"].to_pylist()]
+        assert tracemalloc.get_traced_memory()[1] < batch.nbytes / 2
+    finally:
+        tracemalloc.stop()
+    assert found == want
+
+
 def test_long_audio_is_folded_in_blocks():
     x = audio.tune(np.round(np.random.default_rng(3).normal(0, 8, 300)))
     whole = audio.chroma(x, audio.RATE)

@@ -18,7 +18,7 @@ from __future__ import annotations
 import io
 import struct
 import wave
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -33,6 +33,8 @@ MOST_ERRORS, SHARED, OVERLAP = 0.2, 3, 8
 #: Frames of asking fingerprints in one block, and votes that are held before they are summed.
 BLOCK, AT_ONCE = 2_000_000, 4_000_000
 FRAMES_AT_ONCE = 2048
+#: Clips whose fingerprints go back to Spark at once.
+CLIPS = 64
 _LOW, _HIGH = 65.0, 2100.0
 #: The filters by rule: (shape, first pitch class, height, width in frames).
 FILTERS = tuple((k % 4, (5 * k) % 12 - ((5 * k) % 12 + 2 + k % 3 > 12) * (2 + k % 3), 2 + k % 3, 4 + 3 * (k % 4)) for k in range(16))
@@ -111,15 +113,22 @@ def fingerprint(samples: np.ndarray, rate: int) -> np.ndarray:
     return out
 
 
-def fingerprints(clips: DataFrame) -> DataFrame:
-    """clips: id, audio (WAV). Out: id, n, print (little-endian 32-bit integers)."""
-
+def _printer(play: Callable[[object], bytes] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(*from_wav(x)) for x in batch["audio"].to_pylist()]
-            yield pa.record_batch({"id": batch["id"], "n": pa.array([len(x) for x in found], pa.int64()), "print": pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())})
+            for a in range(0, len(batch), CLIPS):
+                some = batch.slice(a, CLIPS)
+                # one clip at a time: a batch of them as Python objects would be the batch once more
+                found = [fingerprint(*from_wav(play(x.as_py()) if play else x.as_py())) for x in some["audio"]]
+                yield pa.record_batch({"id": some["id"], "n": pa.array([len(x) for x in found], pa.int64()), "print": pa.array([x.astype("<u4").tobytes() for x in found], pa.binary())})
+
+    return tidy(run)
+
 
-    return clips.select("id", "audio").mapInArrow(tidy(run), "id long, n long, print binary")
+def fingerprints(clips: DataFrame, play: Callable[[object], bytes] | None = None) -> DataFrame:
+    """clips: id, audio (WAV, or what play makes WAV of: such a recording never leaves the worker that reads it).
+    Out: id, n, print (little-endian 32-bit integers)."""
+    return clips.select("id", "audio").mapInArrow(_printer(play), "id long, n long, print binary")
 
 
 def _bit_errors(x: np.ndarray, y: np.ndarray, offset: int) -> float:
@@ -195,13 +204,13 @@ def _aligner(held):
     return run
 
 
-def align(clips: DataFrame, every: int = 20, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """clips: id, audio. Out: members (id, n, rep: the smallest id with that fingerprint), and matches
+def align(clips: DataFrame, every: int = 20, block: int = BLOCK, play: Callable[[object], bytes] | None = None) -> tuple[DataFrame, DataFrame]:
+    """clips: id, audio (as fingerprints() takes them). Out: members (id, n, rep: the smallest id with that fingerprint), and matches
     between classes (q, r, shift, error), where q has a member whose id `every` divides.
 
     The asking classes go by in blocks of about `block` frames, whose inverted lists are broadcast (their size is
     bounded); all classes meet each block where they are, so that no pair is shuffled."""
-    prints = stage(fingerprints(clips), "prints")
+    prints = stage(fingerprints(clips, play), "prints")
     key = F.sha2("print", 256)
     classes = prints.where("n > 0").groupBy(key.alias("key")).agg(F.min("id").alias("rep"), F.count("*").alias("w"), F.first("print").alias("print"), F.max(F.coalesce(F.col("id") % every == 0, F.lit(False))).alias("asks"))
     classes = stage(classes.where("rep is not null"), "audio-classes")
@@ -239,18 +248,23 @@ def performance(vector) -> np.ndarray:
     return out + 0.02 * np.resize(v[SIGNS + 1 :], len(out))
 
 
+def recording(vector) -> bytes:
+    return to_wav(performance(vector), RATE)
+
+
 def recordings(vectors: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 64):
                 some = batch.slice(a, 64)
-                yield pa.record_batch([some["vec_id"], pa.array([to_wav(performance(v), RATE) for v in some["embedding"].to_pylist()], pa.binary())], names=["id", "audio"])
+                yield pa.record_batch([some["vec_id"], pa.array([recording(v) for v in some["embedding"].to_pylist()], pa.binary())], names=["id", "audio"])
 
     return vectors.select("vec_id", "embedding").mapInArrow(run, "id long, audio binary")
 
 
 def op6_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    members, matches = align(recordings(table(spark, sf_dir, "embeddings")), every=1)
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("audio"))
+    members, matches = align(vectors, every=1, play=recording)  # a recording is some 400 times the size of its vector: it's played where it is read
     best = matches.groupBy("q").agg(F.count("*").alias("n_links"), F.min(F.struct("error", "r", "shift")).alias("b"), F.lit(1).alias("one"))
     best = best.select(F.col("q").alias("rep"), "n_links", F.col("b.r").alias("best_match"), F.col("b.shift").alias("best_shift"), F.col("b.error").alias("best_error"))
     sizes = members.groupBy("rep").agg(F.count("*").alias("w"))
