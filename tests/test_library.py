@@ -229,3 +229,29 @@ def test_uniform_depends_on_keys_alone(spark):
     u = spark.range(2000).select(vectors.uniform(F.lit(3), F.col("id")).alias("u"))
     a, b = [sorted(r["u"] for r in d.collect()) for d in (u, u.repartition(7))]
     assert a == b and 0.45 < np.mean(a) < 0.55
+
+
+def test_nearest_and_analogies_are_exact_in_blocks(spark, monkeypatch):
+    """Against brute force, with equal vectors, a zero vector and blocks that end inside the rows; tasks hold bounded blocks."""
+    draw = np.random.default_rng(3)
+    x = draw.normal(size=(90, 4)).astype("f4").astype(float)
+    x[40:55], x[60] = x[3], 0
+    for name, value in (("ROUND", 7), ("BLOCK", 3), ("ROWS", 8)):
+        monkeypatch.setattr(neighbours, name, value)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    norms = np.linalg.norm(x, axis=1)
+    cos = np.where(np.outer(norms, norms) > 0, (x @ x.T / np.maximum(np.outer(norms, norms), 1e-12) + 1) / 2, 0)
+    asked = rows.where("id % 4 = 0").select(F.col("id").alias("q"), "vec")
+    distance = lambda dot, a, b: a * a + b * b - 2 * dot
+    for score, want, largest in ((neighbours.scaled, cos, True), (distance, distance(x @ x.T, norms[:, None], norms[None, :]), False)):
+        got = {(r["q"], r["rank"]): r["id"] for r in neighbours.nearest(asked, rows, 5, score, largest).collect()}
+        for q in range(0, 90, 4):
+            best = sorted((i for i in range(90) if i != q), key=lambda i: ((-1 if largest else 1) * round(want[q, i], 9), i))[:5]
+            assert [got[q, k] for k in range(1, 6)] == best
+    u = x / np.maximum(norms, 1e-12)[:, None]
+    questions = spark.createDataFrame([(q, q, q + 1, q + 2, q + 3, q // 10) for q in range(0, 80, 5)], "q long, a long, b long, c long, d long, section long")
+    got = {r["q"]: r["found"] for r in neighbours.analogies(questions, rows).collect()}
+    for q in range(0, 80, 5):
+        s = u @ (u[q + 1] - u[q] + u[q + 2])
+        best = sorted((-round(s[i], 9), i) for i in range(90) if i not in (q, q + 1, q + 2) and round(s[i], 9) > 0)
+        assert got.get(q) == (best[0][1] if best else None)
