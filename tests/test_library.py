@@ -255,3 +255,13 @@ def test_nearest_and_analogies_are_exact_in_blocks(spark, monkeypatch):
         s = u @ (u[q + 1] - u[q] + u[q + 2])
         best = sorted((-round(s[i], 9), i) for i in range(90) if i not in (q, q + 1, q + 2) and round(s[i], 9) > 0)
         assert got.get(q) == (best[0][1] if best else None)
+
+
+def test_tokens_come_in_blocks(monkeypatch):
+    """What is held at once is bounded by the texts' bytes, not by the rows of a batch."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(tokenizer, "BLOCK", 10)
+    texts = ["one two", None, "three", "", "a long text alone", "x", None]
+    blocks = [b["t"].to_pylist() for b in tokenizer._blocks(pa.record_batch({"t": texts}), 0)]
+    assert blocks == [["one two", None], ["three", ""], ["a long text alone"], ["x", None]]

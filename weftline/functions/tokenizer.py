@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -17,6 +18,8 @@ Tokenizer = Callable[[str], Iterable[Token]]
 
 #: A number with points or commas in it, a word, with what hyphens and apostrophes join to it, or a single sign.
 WORD = r"\p{Nd}+(?:[.,]\p{Nd}+)+%?|[\p{L}\p{M}\p{N}_]+(?:[-'’][\p{L}\p{M}\p{N}_]+)*|[^\p{L}\p{M}\p{N}_\p{Z}\t\n\v\f\r]"
+#: Bytes of text whose tokens are held at once; a longer text is held alone.
+BLOCK = 1 << 20
 #: Fixed value: what stands for a number.
 NUMBER = "dddddd"
 _word, _sign = regex.compile(WORD), regex.compile(r"[^\p{L}\p{M}\p{N}_]+")
@@ -28,17 +31,39 @@ def words_and_signs(text: str) -> Iterator[Token]:
     return ((m[0], m.start(), m.end(), m[0]) for m in _word.finditer(text))
 
 
+def _blocks(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most BLOCK bytes of the column's text, or of one row."""
+    start = held = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()):
+        if i > start and held + n > BLOCK:
+            yield batch.slice(start, i - start)
+            start, held = i, 0
+        held += n
+    if len(batch) > start:
+        yield batch.slice(start)
+
+
 def tokenized(df: DataFrame, column: str, factory: Callable[[], Tokenizer] = lambda: words_and_signs, name: str = "tokens") -> DataFrame:
-    """df with an array of tokens, in Arrow batches; null stays null. A task calls the factory once, so that a tokenizer may hold a
-    dictionary or a connection that can't be sent."""
+    """df with an array of tokens, in Arrow batches of a bounded size; null stays null. A task calls the factory once, so that a
+    tokenizer may hold a dictionary or a connection that can't be sent."""
+    at, names = df.columns.index(column), [*df.columns, name]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenize = factory()
-        for rows in batches:
-            found = [None if x is None else [{"word": w, "start": a, "end": b, "lemma": lemma} for w, a, b, lemma in tokenize(x)] for x in rows[column]]
-            yield rows.assign(**{name: pd.Series(found, index=rows.index, dtype=object)})
-
-    return df.mapInPandas(run, ", ".join(f"`{n}` {k}" for n, k in df.dtypes) + f", `{name}` array<struct<word:string,start:int,end:int,lemma:string>>")
+        for batch in batches:
+            for rows in _blocks(batch, at):
+                parts, offsets, texts = ([], [], [], []), [0], rows.column(at).to_pylist()
+                for x in texts:
+                    for token in () if x is None else tokenize(x):
+                        for part, value in zip(parts, token):
+                            part.append(value)
+                    offsets.append(len(parts[0]))
+                flat = [pa.array(part, kind) for part, kind in zip(parts, (pa.string(), pa.int32(), pa.int32(), pa.string()))]
+                tokens = pa.StructArray.from_arrays(flat, ["word", "start", "end", "lemma"])
+                found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tokens, mask=pa.array([x is None for x in texts]))
+                yield pa.RecordBatch.from_arrays([*rows.columns, found], names)
+
+    return df.mapInArrow(run, ", ".join(f"`{n}` {k}" for n, k in df.dtypes) + f", `{name}` array<struct<word:string,start:int,end:int,lemma:string>>")
 
 
 def _lower(text: str) -> str:
