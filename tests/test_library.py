@@ -265,3 +265,13 @@ def test_tokens_come_in_blocks(monkeypatch):
     texts = ["one two", None, "three", "", "a long text alone", "x", None]
     blocks = [b["t"].to_pylist() for b in tokenizer._blocks(pa.record_batch({"t": texts}), 0)]
     assert blocks == [["one two", None], ["three", ""], ["a long text alone"], ["x", None]]
+
+
+def test_rounding_keeps_the_sign_of_zero(spark, duck):
+    """As SQL rounds: to -0.0 what is just below 0."""
+    values = [-1e-9, 1e-9, -0.0, 0.0, -0.0000005, 0.0000005, -1.25, 0.1234565, -7.5e-7, float("inf"), None]
+    got = [r["r"] for r in spark.createDataFrame([(i, x) for i, x in enumerate(values)], "i int, x double").select("i", vectors.rounded(F.col("x"), 6).alias("r")).orderBy("i").collect()]
+    assert [str(x) for x in got] == [str(duck.execute("SELECT round(?::DOUBLE, 6)", [x]).fetchall()[0][0]) for x in values]
+    raw = spark.createDataFrame([(1, s, w, 0.5, [x]) for w, (s, x) in enumerate(((1, 2e-9), (2, 6e-9)))], "pair long, side int, word long, weight double, vec array<double>")
+    step = training.regression_step(raw).select("word", F.transform("gradient", lambda x: vectors.rounded(x, 6)).alias("g"))
+    assert {r["word"]: str(r["g"]) for r in step.collect()} == {0: "[0.0]", 1: "[-0.0]"}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import markup as M
 from weftline.functions import tokenizer as Z
+from weftline.functions import vectors as V
 from weftline.operators import linking as K
 from weftline.operators import training as T
 
@@ -185,7 +186,7 @@ def combined_attention(t):
   SELECT word, list(round(g, 6) ORDER BY i) AS gradient FROM g GROUP BY word""")
 def parallel_regression(t):
     v = vecs(t).select(F.expr("id div 4").alias("pair"), (F.col("id") % 2 + 1).alias("side"), F.col("id").alias("word"), F.lit(0.5).alias("weight"), "vec")
-    return T.regression_step(v).select("word", F.transform("gradient", lambda x: F.round(x, 6)).alias("gradient"))
+    return T.regression_step(v).select("word", F.transform("gradient", lambda x: V.rounded(x, 6)).alias("gradient"))
 
 
 @query()
