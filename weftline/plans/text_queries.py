@@ -174,6 +174,6 @@ def sampling_cdf(t):
 def scalar_math(t):
     x, p = (F.col("n_chars") % 200 - 100) / 10.0, (F.col("n_chars") % 10 + 1) / 10.0
     return t("documents").select(
-        "doc_id", F.round(vectors.sigmoid(x), 6).alias("sig"), F.round(vectors.gradient_scale(x, F.lit(1)), 6).alias("g"), F.round(vectors.clipped(x), 6).alias("clip"),
+        "doc_id", F.round(vectors.sigmoid(x), 6).alias("sig"), vectors.rounded(vectors.gradient_scale(x, F.lit(1)), 6).alias("g"), vectors.rounded(vectors.clipped(x), 6).alias("clip"),
         vectors.near(x, F.lit(1.0)).alias("near"), F.round(vectors.smoothed(p), 6).alias("smooth"),
     )
