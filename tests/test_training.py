@@ -96,3 +96,26 @@ def test_xml_segments_skip_tags_and_times(spark):
 def test_recycled_counts_on(spark):
     got = training.recycled(spark.range(3).withColumnRenamed("id", "k").withColumn("x", F.col("k") * 10), 3, 8).orderBy("k").collect()
     assert [tuple(r) for r in got] == [(k, k % 3 * 10) for k in range(8)]
+
+
+def test_draws_meet_few_rows_whatever_the_number_of_ids(spark):
+    """A cell of the distribution holds about one id, and draws don't depend on the number of cells."""
+    n = 20_000
+    assert training.noise_cells(n) >= n and training.noise_cells(n) & (training.noise_cells(n) - 1) == 0
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(300)], LONGS)
+    noise = training.noise(spark.range(n).select("id", (F.col("id") % 9 + 1).alias("cn"))).localCheckpoint()
+    one, two = (sorted(tuple(r) for r in training.with_negatives(pairs, noise, 3, 1, cells).collect()) for cells in (None, 64))
+    assert one == two and len(one) > 1100
+
+
+def test_batches_without_a_side_are_updated_too(spark):
+    """Ids that are never a source, or never a target, fill batches of their own."""
+    ids = spark.range(6)
+    noise = training.noise(spark.createDataFrame([(4, 1), (5, 1)], "id long, cn long"))
+    pairs = training.with_negatives(spark.createDataFrame([(0, 4), (1, 5)], LONGS), noise, 1, 1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        new, sums = training.train_step(pairs, training.initial(ids, 3).coalesce(1), training.Config(dim=3))
+        assert new.count() == 6 and sums.where("side = 'vec'").count() == 2
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
