@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.running import running
+
 LANGUAGES = ("en", "zh", "es")
 SENTENCE_END = "[.!?！？｡。]"
 #: A mention or anchor holds fewer blanks than this.
 MOST_BLANKS = 135
+#: Line numbers in a slice of a file; sums over a file's lines go by slices, so that a long file isn't one task.
+SLICE = 1 << 17
+
+
+def _summed(df: DataFrame, by: str, sums: dict[str, Column], before: bool = False) -> DataFrame:
+    return running(df, [by], "n", F.floor(F.col("n") / SLICE), sums, before)
 
 
 def lines(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFrame:
@@ -134,7 +142,7 @@ def parallel_side(c: Column, most: int = 20) -> Column:
 def sections(df: DataFrame, by: str = "file") -> DataFrame:
     """Lines ": name" head sections; other lines (four words, upper case) get their section's number."""
     head = F.startswith("value", F.lit(":"))
-    numbered = df.withColumn("section", F.sum(head.cast("int")).over(Window.partitionBy(by).orderBy("n")))
+    numbered = _summed(df, by, {"section": head.cast("int")})
     w = F.split(F.upper("value"), " +")
     return numbered.where(~head).select(by, "n", "section", w.alias("w")).where("size(w) = 4")
 
@@ -154,24 +162,22 @@ def gold_mentions(df: DataFrame, ids: DataFrame, redirects: DataFrame | None = N
 def conll(df: DataFrame, by: str = "file") -> DataFrame:
     """file, n, value (token, B or I, mention, ..., entity) -> doc, mention, length, entity for each mention."""
     f = F.split("value", "\t")
-    w = Window.partitionBy(by).orderBy("n")
-    rows = df.withColumn("doc", F.sum(F.startswith("value", F.lit("-DOCSTART-")).cast("int")).over(w)).withColumn("tag", F.get(f, F.lit(1)))
-    rows = rows.withColumn("k", F.sum((F.col("tag") == "B").cast("int")).over(w)).where(F.col("tag").isin("B", "I"))
+    rows = df.withColumn("tag", F.get(f, F.lit(1)))
+    rows = _summed(rows, by, {"doc": F.startswith("value", F.lit("-DOCSTART-")).cast("int"), "k": (F.col("tag") == "B").cast("int")}).where(F.col("tag").isin("B", "I"))
     return rows.groupBy("doc", "k").agg(F.min_by(F.get(f, F.lit(2)), "n").alias("mention"), F.count("*").alias("length"), F.min_by(F.get(f, F.lit(4)), "n").alias("entity")).drop("k")
 
 
 def forum_offsets(df: DataFrame, by: str = "file") -> DataFrame:
     """Lines without a tag, with the number of characters before each: offsets count all lines with their ends, from -1."""
-    before = F.coalesce(F.sum(F.length("value") + 1).over(Window.partitionBy(by).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - 1
-    return df.withColumn("offset", before).where("not value rlike '^<.*>$'")
+    rows = _summed(df, by, {"offset": F.length("value") + 1}, before=True)
+    return rows.withColumn("offset", F.coalesce("offset", F.lit(0)) - 1).where("not value rlike '^<.*>$'")
 
 
 def in_region(df: DataFrame, tags: tuple[str, ...] = ("TEXT", "HEADLINE"), by: str = "file") -> DataFrame:
     """Lines between a line <TAG> and a line </TAG>."""
     names = "|".join(tags)
     opened = F.col("value").rlike(f"^<({names})>$").cast("int") - F.col("value").rlike(f"^</({names})>$").cast("int")
-    depth = F.sum(opened).over(Window.partitionBy(by).orderBy("n"))
-    return df.withColumn("depth", depth).where("depth > 0 and not value rlike '^<.*>$'").drop("depth")
+    return _summed(df, by, {"depth": opened}).where("depth > 0 and not value rlike '^<.*>$'").drop("depth")
 
 
 def sentences(c: Column) -> Column:
