@@ -81,14 +81,19 @@ def merge_pair(words: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def learn_merges(words: DataFrame, n: int = 15) -> list[tuple[str, str, int]]:
-    """The n most frequent pairs, one after the other merged; ends when none occurs twice. Ties: the smaller pair."""
-    out = []
+    """The n most frequent pairs, one after the other merged; ends when none occurs twice. Ties: the smaller pair. Words are read
+    once and kept in as many parts as they need, each round's until those of the next are there."""
+    out, before = [], words.persist()
+    held = before.coalesce(max(1, -(-before.count() // 50_000))).persist()
     for _ in range(n):
-        best = pair_counts(words).orderBy(F.desc("cn"), "a", "b").first()
+        best = pair_counts(held).orderBy(F.desc("cn"), "a", "b").first()
+        before.unpersist()
         if best is None or best["cn"] < 2:
             break
         out.append((best["a"], best["b"], best["cn"]))
-        words = merge_pair(words, best["a"], best["b"])
+        before, held = held, merge_pair(held, best["a"], best["b"]).persist()
+    before.unpersist()
+    held.unpersist()
     return out
 
 
