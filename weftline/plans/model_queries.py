@@ -62,6 +62,7 @@ def template_calls(t):
     })
     p = t("part").withColumn("raw", F.concat_ws("|", F.lit("{{sums"), "p_size").cast("string")).withColumn("other", F.concat_ws("|", F.lit("{{texts"), "p_name", "p_type", "p_size"))
     p = p.select("p_partkey", F.concat("raw", F.lit("}}")).alias("raw"), F.concat("other", F.lit("}}")).alias("other"))
+    p = p.repartition(2 * t.spark.sparkContext.defaultParallelism, "p_partkey")  # many rows can be in a small file
     return M.mapped(M.mapped(p, "raw", body.expand, "sums"), "other", body.expand, "texts").select("p_partkey", "sums", "texts")
 
 
