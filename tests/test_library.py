@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.functions import calls, markup, text, tokenizer, vectors
-from weftline.operators import linking, neighbours, ranking, training, vocabulary
+from weftline.operators import graph, linking, neighbours, ranking, training, vocabulary
 from weftline.plans import catalogue
 from weftline.sources import files, lines
 
@@ -294,3 +294,79 @@ def test_coherence_in_cells(spark, monkeypatch):
     for (d, i), found in got.items():
         s = [cos(x[d, i], v) for (e, _), v in context.items() if e == d] or [0.0]
         assert np.allclose(found, (max(s), np.mean(s)), atol=1e-9)
+
+
+def test_spearman_by_slices(spark):
+    """Ranks with ties, missing values and a group without a key, whatever the slices; no group is ranked in one task."""
+    draw = np.random.default_rng(6)
+    rows = [(g, None if k % 17 == 0 else float(draw.integers(-4, 5)), float(draw.normal()) if g != "c" else 2.0) for g in ("a", None, "c") for k in range(60)]
+    out = ranking.spearman(spark.createDataFrame(rows, "g string, x double, y double"), "g", "x", "y", 7)
+    assert "rank(" not in out._jdf.queryExecution().toString()
+    got = {r["g"]: r["rho"] for r in out.collect()}
+    mean_rank = lambda v: np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+    for g in ("a", None):
+        x, y = (np.array([r[i] or 0.0 for r in rows if r[0] == g]) for i in (1, 2))
+        assert math.isclose(got[g], np.corrcoef(mean_rank(x), mean_rank(y))[0, 1], abs_tol=1e-9)
+    assert got["c"] is None
+
+
+def test_sums_over_lines_go_by_slices(spark, monkeypatch):
+    """A file's sections, documents and offsets are the same when its lines are dealt over tasks."""
+    monkeypatch.setattr(lines, "SLICE", 3)
+    draw = np.random.default_rng(7)
+    kinds = ["-DOCSTART-", "a\tB\tm\tx\te", "a\tI\tm\tx\te", "a\tO", "<TEXT>", "</TEXT>", ": s", "one two three four"]
+    rows = [(f, n, kinds[int(draw.integers(0, 8))]) for f in "fg" for n in range(-2, 40)]
+    df = spark.createDataFrame(rows, "file string, n long, value string")
+    docs, ks, want = {}, {}, {}
+    for f, n, v in rows:
+        docs[f] = docs.get(f, 0) + (v == "-DOCSTART-")
+        ks[f] = ks.get(f, 0) + ("\tB\t" in v)
+        if "\tB\t" in v or "\tI\t" in v:
+            want[f, docs[f], ks[f]] = want.get((f, docs[f], ks[f]), 0) + 1
+    for f in "fg":
+        got = lines.conll(df.where(F.col("file") == f)).collect()
+        assert sorted((r["doc"], r["length"]) for r in got) == sorted((d, c) for (g, d, _), c in want.items() if g == f)
+    before = {"f": -1, "g": -1}
+    offsets = {(r["file"], r["n"]): r["offset"] for r in lines.forum_offsets(df).collect()}
+    for f, n, v in rows:
+        assert offsets.get((f, n)) == (None if v.startswith("<") else before[f])
+        before[f] += len(v) + 1
+    depth = {"f": 0, "g": 0}
+    inside = {(r["file"], r["n"]) for r in lines.in_region(df).collect()}
+    for f, n, v in rows:
+        depth[f] += (v == "<TEXT>") - (v == "</TEXT>")
+        assert ((f, n) in inside) == (depth[f] > 0 and not v.startswith("<"))
+
+
+def test_coverage_by_pairs(spark):
+    """Gold entities are found by a join, not in a list for each mention; missing values match nothing."""
+    m = spark.createDataFrame([("a", 1, "x"), ("a", 2, "x"), ("a", None, "y"), (None, 1, "y"), ("b", 1, None), ("c", 5, "z")], "mention string, entity int, g string")
+    c = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), ("b", None), (None, 1)], "mention string, entity int")
+    out = graph.coverage(m, c, F.col("g"))
+    assert "collect_set" not in out._jdf.queryExecution().toString()
+    assert {tuple(r) for r in out.collect()} == {("x", 2, 2, 1), ("y", 2, 1, 0), (None, 1, 1, 0), ("z", 1, 0, 0)}
+
+
+def test_merges_read_the_words_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for rows in batches:
+            seen.add(len(rows))
+            yield rows
+
+    words = spark.createDataFrame([("l o w", 5), ("l o w e r", 2), ("n e w e s t", 6)], "w string, cn long").mapInPandas(count, "w string, cn long")
+    assert vocabulary.learn_merges(words.select(F.split("w", " ").alias("symbols"), "cn"), 4)[0] == ("w", "e", 8)
+    assert seen.value == 3
+
+
+def test_template_rows_are_dealt(spark):
+    """Many rows can lie in a small file, which one task would read."""
+    assert catalogue.QUERIES["template_calls"](spark, FOLDER).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_pairs_are_counted_in_parts_of_bounded_size(spark):
+    pairs = spark.createDataFrame([(k % 5, k % 3) for k in range(60)], "src long, dst long")
+    out = training.pair_counts(pairs, 60, 4)
+    assert out.rdd.getNumPartitions() == 15
+    assert {tuple(r) for r in out.collect()} == {(a, b, 4) for a in range(5) for b in range(3)}

@@ -100,9 +100,12 @@ def with_gold(cands: DataFrame, gold: DataFrame, vectors: DataFrame) -> DataFram
 
 def coverage(mentions: DataFrame, cands: DataFrame, group: Column) -> DataFrame:
     """For each group: mentions, those with candidates, and those whose gold entity is a candidate."""
-    c = cands.groupBy("mention").agg(F.collect_set("entity").alias("c"))
-    j = mentions.withColumn("g", group).join(c, "mention", "left")
-    return j.groupBy("g").agg(F.count("*").alias("n"), F.count("c").alias("with_candidates"), F.count_if(F.array_contains("c", F.col("entity"))).alias("with_gold"))
+    m = mentions.select(group.alias("g"), "mention", "entity")
+    known = cands.select("mention").where("mention is not null").distinct().withColumn("there", F.lit(1))
+    asked = m.groupBy("g", "mention").agg(F.count("*").alias("n")).join(known, "mention", "left")  # one row a group and mention
+    gold = m.join(cands.select("mention", "entity").distinct(), ["mention", "entity"], "left_semi")
+    sums = asked.select("g", "n", F.when(F.col("there") == 1, F.col("n")).otherwise(0).alias("c"), F.lit(0).alias("e")).unionByName(gold.select("g", F.lit(0).alias("n"), F.lit(0).alias("c"), F.lit(1).alias("e")))
+    return sums.groupBy("g").agg(F.sum("n").alias("n"), F.sum("c").alias("with_candidates"), F.sum("e").alias("with_gold"))
 
 
 def priors(counts: DataFrame) -> DataFrame:
